@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import token_counts
+from sylva.llm import langid, subword, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality": subword.query,
+        "op5_toxicity": toxicity.query,
         "op6_token_counts": token_counts.query,
+        "op7_language_id": langid.query,
     }
 
 
