@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import langid, subword, token_counts, toxicity
+from sylva.llm import langid, packing, subword, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_hilbert_packing": packing.query,
         "op4_quality": subword.query,
         "op5_toxicity": toxicity.query,
         "op6_token_counts": token_counts.query,
