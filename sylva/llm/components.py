@@ -1,0 +1,36 @@
+"""Connected components of a link table, by alternating large and small stars, without collecting any of it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sylva.session import cut
+
+
+def _mark(edges: DataFrame) -> tuple:
+    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+    return row.n, row.h
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component for each end of the links (a long, b long); the component is the smallest id reachable.
+
+    Links of a node with itself name a component of one node or change nothing; repeated and reversed links count once;
+    no links, no rows. Each round at least halves the depth of the trees that remain.
+    """
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = _mark(edges)
+    while before[0]:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+        edges = cut(small.where("a <> b").distinct())
+        after = _mark(edges)
+        if after == before:
+            break
+        before = after
+    return ends.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
