@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import langid, minhash, packing, subword, token_counts, toxicity
+from sylva.llm import langid, merkle, minhash, mixing, packing, subword, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": minhash.query,
+        "op2_merkle_fingerprint": merkle.query,
         "op3_hilbert_packing": packing.query,
         "op4_quality": subword.query,
         "op5_toxicity": toxicity.query,
         "op6_token_counts": token_counts.query,
         "op7_language_id": langid.query,
+        "op9_mixing": mixing.query,
     }
 
 
