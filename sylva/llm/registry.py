@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import langid, merkle, minhash, mixing, packing, subword, token_counts, toxicity
+from sylva.llm import langid, merkle, minhash, mixing, packing, subword, token_counts, toxicity, vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,9 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": toxicity.query,
         "op6_token_counts": token_counts.query,
         "op7_language_id": langid.query,
+        "op8_embedding_dedup": vectors.query,
         "op9_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_embedding_dedup": vectors.SQL}
