@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import langid, merkle, minhash, mixing, packing, subword, token_counts, toxicity, vectors
+from sylva.llm import langid, merkle, minhash, mixing, packing, subword, token_counts, toxicity, vectors, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language_id": langid.query,
         "op8_embedding_dedup": vectors.query,
         "op9_mixing": mixing.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": vectors.SQL}
+    return {"op8_embedding_dedup": vectors.SQL, "op10_warc": warc.SQL}
