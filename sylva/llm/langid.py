@@ -125,6 +125,18 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_batches(slim, run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def filter_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is found and not ambiguous, with all their columns."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = (shared.value.predict(t) for t in texts_of(batch))
+        return batch.filter(pa.array([lang != UNKNOWN and score >= AMBIGUOUS for lang, score in got], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return identify(docs, fit(docs))

@@ -21,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm import ngrams as ng
@@ -273,5 +273,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", cluster.alias("cluster_id"), F.coalesce(cluster == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each group of near-duplicates, that of the smallest id, with all columns of docs.
+
+    Rows without an id stay; of rows that share an id one stays.
+    """
+    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    numbered = left.where("doc_id is not null").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return numbered.where("_row = 1").drop("_row").unionByName(left.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

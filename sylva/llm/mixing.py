@@ -62,15 +62,15 @@ def apportion(df: DataFrame, groups: list[str], share: str, seats: str, tie: str
     return out.drop("_all", "_n", "_exact", "_base", "_more", "_left", "_won")
 
 
-def mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and source, for each row of docs (doc_id, text, source, ...).
+def mix(docs: DataFrame, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source and the columns to carry, for each row of docs (doc_id, text, source, ...).
 
     taken counts words with repeats: a multiple of the size, and part of it at the last block. Null text has size 0;
     null sources are one source, ranked last; repeated rows are documents of their own; an empty table, or one without
     words, takes nothing; other columns are not read.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"))
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry)
     slim = cut(slim.withColumn("key", key).withColumn("order", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))))
     sources = slim.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.expr(f"total div {LEAST_BLOCKS}"))).cast("long")
@@ -83,12 +83,33 @@ def mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     shards = apportion(shards, ["key"], "shard_size", "quota", "shard", "blocks")
     budget = F.least(F.col("blocks") * F.col("block"), REPEATS * F.col("shard_size"))
     shards = shards.withColumn("budget", budget).select("key", "shard", "shard_size", "budget")
-    run = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("key", "shard").orderBy("order", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("start", F.coalesce(F.sum("size").over(run), F.lit(0))).join(shards, ["key", "shard"])
     passes = F.when(F.col("shard_size") > 0, F.expr("budget div shard_size")).otherwise(0)
     rest = F.col("budget") - passes * F.col("shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", *carry)
+
+
+def apply_mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The mixed corpus, with the columns of docs: each row as often as the mix takes it.
+
+    Of a last pass taken in part the text is cut after that many words, and n_chars, where there is one, follows. Rows
+    not taken are left out. Rows equal in all columns are taken together, which gives the same rows.
+    """
+    names = docs.columns
+    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    keyed = docs.withColumn("_row", row)
+    taken = mix(keyed, shard_rows, ("_row",)).groupBy("_row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
+    once = keyed.groupBy("_row").agg(*[F.first(c).alias(c) for c in names])
+    both = once.join(taken, "_row").withColumn("_full", F.expr("_taken div _size")).withColumn("_part", F.col("_taken") % F.col("_size"))
+    copies = both.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("_full").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<long>")))))
+    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("_words") + 1).cast("int"))
+    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
+    cut_rows = copies.withColumn("text", text)
+    if "n_chars" in names:
+        cut_rows = cut_rows.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return cut_rows.select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
