@@ -1,19 +1,538 @@
-"""Registered queries over the driver tables, each with its SQL oracle where SQL can state it."""
+"""Registered queries over the driver tables, each with its SQL oracle where SQL can state it.
+
+`embeddings` is the vector table (its sign bits the binary one, its first two components the plane that is clustered),
+`documents` the corpus, `benchmark` and `conversations` the questions, `events.props` the JSON lines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylva.functions import distances, text
+from sylva.operators import bpe, density, evaluate, knn, pca, rag, tree
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+BITS = 64
+K = 5
+MINPTS = 5
+COSINE_RADIUS, YULE_RADIUS, PLANE_RADIUS = 0.68, 0.40, 0.02
+START, STEP, STEPS = 0.02, 0.005, 16
+VOCABULARY = 160
+SLICE = 200
+CHUNK = 40
+
+
+# ---- tables
+
+
+def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{table}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def plane(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).select("row_id", F.slice("vector", 1, 2).alias("vector"))
+
+
+def bits(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).select("row_id", distances.sign_bits(F.col("vector")).alias("vector"))
+
+
+def labels(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("long").alias("label"))
+
+
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+
+
+def asked(rows: DataFrame) -> DataFrame:
+    """The stated query set: every row whose id is divisible by 20."""
+    return rows.where("row_id % 20 = 0")
+
+
+def layers(spark: SparkSession, d: str) -> density.Layers:
+    rows = plane(spark, d)
+    return density.adaptive(lambda r: density.neighbours_on_grid(rows, r), START, STEP, MINPTS, STEPS)
+
+
+# ---- oracle fragments
+
+
+_V = "v AS (SELECT vec_id AS i, embedding::DOUBLE[] AS e, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE[] AS b FROM embeddings)"
+_COS = "(1 - list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))))"
+_L2 = "sqrt((a.e[1] - b.e[1]) * (a.e[1] - b.e[1]) + (a.e[2] - b.e[2]) * (a.e[2] - b.e[2]))"
+_BOTH, _AB = "list_dot_product(a.b, b.b)", "(list_sum(a.b) - list_dot_product(a.b, b.b)) * (list_sum(b.b) - list_dot_product(a.b, b.b))"
+_YULE = f"(2 * {_AB} / nullif({_BOTH} * (64 - list_sum(a.b) - list_sum(b.b) + {_BOTH}) + {_AB}, 0))"
+
+
+def _grid(values: list[float]) -> str:
+    return ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(values))
+
+
+def _labels_sql(distance: str, values: list[float]) -> str:
+    """lab(step, row_id, label, cluster) at each radius, by recursion over sets of labels."""
+    return f"""
+WITH RECURSIVE {_V}, eps(step, r) AS (VALUES {_grid(values)}),
+pairs AS MATERIALIZED (SELECT a.i, b.i AS j, {distance} AS d FROM v a JOIN v b ON {distance} <= {max(values)!r}),
+nb AS MATERIALIZED (SELECT step, i, j FROM pairs JOIN eps ON d <= r),
+core AS MATERIALIZED (SELECT step, i, count(*) > {MINPTS} AS seed FROM nb GROUP BY step, i HAVING count(*) >= {MINPTS}),
+reach(step, v, l) AS (
+  SELECT step, i, i FROM core WHERE seed
+  UNION
+  SELECT n.step, n.j, r.l FROM reach r JOIN nb n ON n.step = r.step AND n.i = r.v JOIN core c ON c.step = n.step AND c.i = n.j
+  WHERE c.seed OR r.l < n.j),
+inner_ AS MATERIALIZED (SELECT step, v, min(l) AS l FROM reach GROUP BY step, v),
+border AS (SELECT n.step, n.j AS v, min(c.l) AS l FROM nb n JOIN inner_ c ON c.step = n.step AND c.v = n.i
+  WHERE NOT EXISTS (SELECT 1 FROM inner_ k WHERE k.step = n.step AND k.v = n.j) GROUP BY n.step, n.j),
+lab AS MATERIALIZED (SELECT step, v AS row_id, l AS label, (dense_rank() OVER (PARTITION BY step ORDER BY l) - 1)::BIGINT AS cluster
+  FROM (SELECT * FROM inner_ UNION ALL SELECT * FROM border))"""
+
+
+_LAYERS = _labels_sql(_L2, density.radii(START, STEP, STEPS)) + """,
+cnt AS (SELECT eps.step, count(DISTINCT cluster) AS n FROM eps LEFT JOIN lab USING (step) GROUP BY eps.step),
+stop AS (SELECT coalesce(min(step), 1000) AS s FROM cnt WHERE n = 1),
+acc AS (SELECT step, n, row_number() OVER (ORDER BY step) - 1 AS layer FROM
+  (SELECT step, n, min(n) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM cnt)
+  WHERE (m IS NULL OR n < m) AND step <= (SELECT s FROM stop)),
+mem AS MATERIALIZED (SELECT layer::BIGINT AS layer, row_id, label, cluster FROM lab JOIN acc USING (step)),
+size AS (SELECT layer, cluster, count(*) AS n FROM mem GROUP BY layer, cluster),
+edge AS MATERIALIZED (SELECT p.layer, p.cluster, c.layer AS child_layer, c.cluster AS child, count(*) AS common
+  FROM mem p JOIN mem c ON p.row_id = c.row_id AND p.layer = c.layer + 1 JOIN size s ON s.layer = c.layer AND s.cluster = c.cluster
+  GROUP BY p.layer, p.cluster, c.layer, c.cluster, s.n HAVING count(*) > 0.8 * s.n),
+node AS MATERIALIZED (SELECT s.layer, s.cluster, s.n, e.layer AS up_layer, e.cluster AS up FROM size s LEFT JOIN edge e ON e.child_layer = s.layer AND e.child = s.cluster),
+lbl AS (SELECT vec_id AS row_id, label::BIGINT AS truth FROM embeddings)
+"""
+
+
+# ---- queries
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("long") for n in names})
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) + 0 for n in names})
+
+
+def vdb_details(spark, d):
+    return _long(vectors(spark, d).agg(F.lit("double").alias("type"), F.max(F.size("vector")).alias("vector_length"), F.count(F.lit(1)).alias("entries")), "vector_length")
+
+
+def vdb_entry_lookup(spark, d):
+    return asked(vectors(spark, d)).select("row_id", F.posexplode("vector").alias("pos", "x")).select("row_id", F.col("pos").cast("long").alias("pos"), F.round("x", 6).alias("x"))
+
+
+def vdb_texts_by_index(spark, d):
+    index = _read(spark, d, "benchmark").select(F.col("item_id").alias("pos"), (F.col("item_id") * 7 % 50).alias("row_id"))
+    return tree.rows_by_index(corpus(spark, d), index).select("pos", "row_id", "text")
+
+
+def cosine_pairwise(spark, d):
+    return _round(knn.pairwise(vectors(spark, d)), "distance")
+
+
+def l2_pairwise(spark, d):
+    return _round(knn.pairwise(plane(spark, d), "l2"), "distance")
+
+
+def yule_pairwise(spark, d):
+    df = _round(knn.pairwise(bits(spark, d), "yule", BITS), "distance")
+    return df.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+
+
+def yule_simd_compat(spark, d):
+    rows = bits(spark, d).alias("a")
+    other = asked(bits(spark, d)).select(F.col("row_id").alias("query_id"), F.col("vector").alias("q"))
+    near = rows.join(F.broadcast(other), F.col("query_id") == F.floor(F.col("row_id") / 20) * 20)
+    return near.select("query_id", "row_id", F.isnan(distances.yule(F.col("q"), F.col("vector"), BITS, True)).alias("undefined"))
+
+
+def knn_cosine(spark, d):
+    rows = vectors(spark, d)
+    return _round(_long(knn.knn(asked(rows), rows, K), "rank"), "distance")
+
+
+def knn_l2(spark, d):
+    rows = plane(spark, d)
+    return _round(_long(knn.knn(asked(rows), rows, K, "l2"), "rank"), "distance")
+
+
+def knn_yule(spark, d):
+    rows = bits(spark, d)
+    return _round(_long(knn.knn(asked(rows), rows, K, "yule", BITS), "rank"), "distance")
+
+
+def eps_neighbors(spark, d):
+    return _round(density.neighbours(vectors(spark, d), COSINE_RADIUS), "distance")
+
+
+def eps_degree(spark, d):
+    return density.degrees(density.neighbours(vectors(spark, d), COSINE_RADIUS))
+
+
+def _dbscan(nb: DataFrame, radius: float) -> DataFrame:
+    return _long(density.dbscan(nb, radius, MINPTS), "cluster")
+
+
+def dbscan_cosine(spark, d):
+    return _dbscan(density.neighbours(vectors(spark, d), COSINE_RADIUS), COSINE_RADIUS)
+
+
+def dbscan_yule(spark, d):
+    return _dbscan(density.neighbours(bits(spark, d), YULE_RADIUS, "yule", BITS), YULE_RADIUS)
+
+
+def dbscan_l2(spark, d):
+    return _dbscan(density.neighbours_on_grid(plane(spark, d), PLANE_RADIUS), PLANE_RADIUS)
+
+
+def adaptive_layers(spark, d):
+    return _long(layers(spark, d).members, "layer", "cluster")
+
+
+def layer_stats(spark, d):
+    found = layers(spark, d)
+    stats = spark.createDataFrame([(a, b, n) for a, b, _, n in found.stats], "layer long, step long, clusters long")
+    return stats
+
+
+def layer_coverage(spark, d):
+    return _round(_long(tree.coverage(layers(spark, d).members, plane(spark, d)), "layer"), "coverage")
+
+
+def layer_edges(spark, d):
+    return _long(tree.edges(layers(spark, d).members), "layer", "cluster", "child_layer", "child")
+
+
+def cluster_intersections(spark, d):
+    members = layers(spark, d).members
+    return _long(tree.intersections(members.where("layer = 0"), members.where("layer = 1")), "cluster_a", "cluster_b")
+
+
+def noise_rows(spark, d):
+    return tree.noise(layers(spark, d).members, plane(spark, d), 0)
+
+
+def cluster_counts(spark, d):
+    return _long(tree.cluster_counts(layers(spark, d).members), "layer")
+
+
+def cluster_members(spark, d):
+    return _long(tree.gather(layers(spark, d).members, plane(spark, d)).select("layer", "cluster", "pos", "row_id"), "layer", "cluster", "pos")
+
+
+def cluster_sub_vdb(spark, d):
+    got = tree.gather(layers(spark, d).members, plane(spark, d))
+    return _long(got.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.element_at("vector", 1)), 5).alias("sum_x"), F.round(F.sum(F.element_at("vector", 2)), 5).alias("sum_y")), "layer", "cluster")
+
+
+def pca_means(spark, d):
+    return _round(_long(pca.means(vectors(spark, d)), "feature"), "mean")
+
+
+def pca_covariance(spark, d):
+    return _long(pca.covariance(vectors(spark, d)).withColumn("cov", F.round("cov", 8)), "i", "j")
+
+
+def pca_eigenvalues(spark, d):
+    return pca.eigenvalues(pca.fit(vectors(spark, d)), spark).withColumn("eigenvalue", F.round("eigenvalue", 8))
+
+
+def pca_projection(spark, d):
+    rows = vectors(spark, d)
+    return pca.project(rows, pca.fit(rows), 10)
+
+
+def pca_subset(spark, d):
+    return pca.subset(pca_projection(spark, d), 2)
+
+
+def word_counts(spark, d):
+    return text.word_counts(corpus(spark, d))
+
+
+def first_occurrence_words(spark, d):
+    return text.word_list(corpus(spark, d)).select("row_id", "word", F.col("first").cast("long").alias("first"), "n")
+
+
+def longest_word(spark, d):
+    return _long(text.longest_word(corpus(spark, d)), "bytes")
+
+
+def byte_alphabet(spark, d):
+    return _long(bpe.byte_alphabet(corpus(spark, d)), "id", "byte")
+
+
+def bpe_best_pair(spark, d):
+    docs = corpus(spark, d)
+    ids = {r.byte: r.id for r in bpe.byte_alphabet(docs).collect()}
+    start = bpe.distinct_words(docs).select(bpe.first_tokens(F.col("word"), ids, len(ids), len(ids) + 1).alias("tokens"), "n")
+    return bpe.pair_counts(start).orderBy(F.desc("n"), "b", "a").limit(1).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
+
+
+def _trained(spark, d) -> bpe.Tokenizer:
+    return bpe.train(corpus(spark, d), VOCABULARY)
+
+
+def bpe_train(spark, d):
+    t = _trained(spark, d)
+    return spark.createDataFrame([(k, t.tokens[c].hex(), a, b) for k, (a, b, c) in enumerate(t.rules)], "rule_no int, token string, left int, right int")
+
+
+def bpe_encode(spark, d):
+    return bpe.encode(corpus(spark, d), _trained(spark, d)).select("row_id", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
+
+
+def bpe_binary_embedding(spark, d):
+    return bpe.binary_embedding(corpus(spark, d), _trained(spark, d))
+
+
+def bpe_real_embedding(spark, d):
+    return bpe.real_embedding(corpus(spark, d), _trained(spark, d))
+
+
+def text_slices(spark, d):
+    return text.slices(corpus(spark, d), SLICE)
+
+
+def text_slices_overlap(spark, d):
+    return text.slices(corpus(spark, d).where(F.octet_length("text") >= SLICE), SLICE, overlap=True)
+
+
+def jsonl_extract(spark, d):
+    return _read(spark, d, "events").select(F.col("event_id").alias("row_id"), F.get_json_object("props", "$['k']").alias("text"))
+
+
+def _qrels(spark, d) -> DataFrame:
+    l = labels(spark, d)
+    q = asked(l).select(F.col("row_id").alias("q"), "label")
+    return l.join(q, "label").where("q <> row_id").select(F.col("q").cast("string").alias("query_id"), F.col("row_id").cast("string").alias("corpus_id"), (1 + F.col("row_id") % 3).cast("int").alias("score"))
+
+
+def qrels_max_score(spark, d):
+    return _long(evaluate.qrels_max(_qrels(spark, d)), "best")
+
+
+def beir_accuracy(spark, d):
+    rows = vectors(spark, d).withColumn("name", F.col("row_id").cast("string"))
+    return _round(evaluate.retrieval_accuracy(asked(rows), rows, _qrels(spark, d), "cosine"), "accuracy")
+
+
+def label_ids(spark, d):
+    return _long(text.dense_ids(labels(spark, d), "label"), "id", "first")
+
+
+def contingency(spark, d):
+    return _long(evaluate.contingency(layers(spark, d).members.drop("label"), labels(spark, d)), "layer", "cluster")
+
+
+def _scores(spark, d, name: str) -> DataFrame:
+    table = evaluate.contingency(layers(spark, d).members.drop("label"), labels(spark, d))
+    df = _long(evaluate.cluster_scores(table), "layer").select("layer", "docs", F.round(name, 6).alias(name))
+    return df.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
+def ari_score(spark, d):
+    return _scores(spark, d, "ari")
+
+
+def nmi_score(spark, d):
+    return _scores(spark, d, "nmi")
+
+
+def corpus_stats(spark, d):
+    return _round(text.corpus_stats(corpus(spark, d)), "mean_words", "sd_words")
+
+
+def node_label_mix(spark, d):
+    return _round(_long(tree.label_mix(layers(spark, d).members.drop("label"), labels(spark, d)), "layer", "cluster"), "intensity")
+
+
+def rag_prompt(spark, d):
+    rows = vectors(spark, d).join(corpus(spark, d), "row_id", "left")
+    said = _read(spark, d, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.concat(F.lit(rag.USER), "text", F.lit(rag.ASSISTANT)).alias("history"))
+    return rag.rag_prompts(rag.retrieve(asked(rows), rows, 3), said)
+
+
+def chat_prompt(spark, d):
+    return rag.chat_prompts(_read(spark, d, "conversations"))
+
+
+def conversation_history(spark, d):
+    return rag.conversation(_read(spark, d, "conversations"))
+
+
+def annotation_chunks(spark, d):
+    return _long(tree.annotation_chunks(layers(spark, d).members, CHUNK).groupBy("layer", "cluster", "chunk").agg(F.count(F.lit(1)).alias("n")), "layer", "cluster")
+
+
+def annotation_qc(spark, d):
+    checked = rag.annotation_check(_read(spark, d, "conversations"))
+    return checked.select("conv_id", "turn", "bad", F.length("correction_input").cast("long").alias("n_correction"))
+
+
+def mapping_rows(spark, d):
+    return tree.mapping(layers(spark, d).members).select("key", "doc_count", F.array_join("article_ids", ",").alias("article_ids"), "label")
+
+
+def article_rows(spark, d):
+    return tree.articles(_read(spark, d, "events").select(F.col("event_id").alias("row_id"), F.col("props").alias("value")), "k", "v")
+
+
+def newick(spark, d):
+    return spark.createDataFrame([(tree.newick(tree.nested(tree.nodes(layers(spark, d).members))),)], "newick string")
+
+
+def _named(df: DataFrame, *names: str) -> DataFrame:
+    """Node numbers as layer * 1000000 + cluster, which SQL states as well."""
+    return df.withColumns({n: F.shiftright(n, 32) * 1_000_000 + F.col(n).bitwiseAND(F.lit((1 << 32) - 1)) for n in names})
+
+
+def tree_ancestry(spark, d):
+    return _named(tree.ancestry(tree.nodes(layers(spark, d).members)), "node", "ancestor")
+
+
+def top_branch(spark, d):
+    return _named(tree.top_branch(tree.nodes(layers(spark, d).members)), "node", "branch")
+
+
+def tree_stats(spark, d):
+    return tree.tree_stats(tree.nodes(layers(spark, d).members))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return adaptive_layers(spark, sf_dir)
+
+
+_QUERIES: list[Query] = [
+    vdb_details, vdb_entry_lookup, vdb_texts_by_index, cosine_pairwise, l2_pairwise, yule_pairwise, yule_simd_compat, knn_cosine, knn_l2, knn_yule, eps_neighbors, eps_degree,
+    dbscan_cosine, dbscan_yule, dbscan_l2, adaptive_layers, layer_stats, layer_coverage, layer_edges, cluster_intersections, noise_rows, cluster_counts, cluster_members, cluster_sub_vdb,
+    pca_means, pca_covariance, pca_eigenvalues, pca_projection, pca_subset, word_counts, first_occurrence_words, longest_word, byte_alphabet, bpe_best_pair, bpe_train, bpe_encode,
+    bpe_binary_embedding, bpe_real_embedding, text_slices, text_slices_overlap, jsonl_extract, qrels_max_score, beir_accuracy, label_ids, contingency, ari_score, nmi_score, corpus_stats,
+    node_label_mix, rag_prompt, chat_prompt, conversation_history, annotation_chunks, annotation_qc, mapping_rows, article_rows, newick, tree_ancestry, top_branch, tree_stats,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in _QUERIES}
+
+
+# ---- oracles
+
+
+def _knn_sql(distance: str) -> str:
+    return f"""WITH {_V} SELECT query_id, row_id, round(d, 6) + 0 AS distance, rank FROM (
+SELECT a.i AS query_id, b.i AS row_id, {distance} AS d, row_number() OVER (PARTITION BY a.i ORDER BY {distance} NULLS LAST, b.i) AS rank
+FROM v a JOIN v b ON a.i % 20 = 0) WHERE rank <= {K}"""
+
+
+def _pairs_sql(distance: str) -> str:
+    return f"WITH {_V} SELECT a.i, b.i AS j, round({distance}, 6) + 0 AS distance FROM v a JOIN v b ON a.i >= b.i"
+
+
+def _dbscan_sql(distance: str, radius: float) -> str:
+    return _labels_sql(distance, density.radii(radius, 0, 1)) + " SELECT row_id, label, cluster FROM lab"
+
+
+_WORDS = "w AS (SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents)"
+_HEX = "regexp_extract_all(hex(encode(word)), '..')"
+_QRELS = "q AS (SELECT a.vec_id AS q, b.vec_id AS c, 1 + b.vec_id % 3 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
+_CELLS = ", t AS (SELECT layer, cluster, truth, count(*) AS n FROM mem JOIN lbl USING (row_id) WHERE truth IS NOT NULL GROUP BY layer, cluster, truth)"
+_MARGINS = _CELLS + """,
+r AS (SELECT layer, cluster, sum(n) AS a FROM t GROUP BY layer, cluster), c AS (SELECT layer, truth, sum(n) AS b FROM t GROUP BY layer, truth),
+s AS (SELECT layer, sum(n)::BIGINT AS docs FROM t GROUP BY layer),
+rr AS (SELECT layer, sum(a * (a - 1) / 2) AS pa, -sum(a / docs * ln(a / docs)) AS ha, count(*) AS k FROM r JOIN s USING (layer) GROUP BY layer),
+cc AS (SELECT layer, sum(b * (b - 1) / 2) AS pb, -sum(b / docs * ln(b / docs)) AS hb FROM c JOIN s USING (layer) GROUP BY layer),
+tt AS (SELECT layer, sum(n * (n - 1) / 2) AS p, sum(n / docs * ln(n * docs / (a * b))) AS mi
+  FROM t JOIN r USING (layer, cluster) JOIN c USING (layer, truth) JOIN s USING (layer) GROUP BY layer)"""
+_UP = """,
+up AS (
+  SELECT layer * 1000000 + cluster AS node, layer * 1000000 + cluster AS ancestor, up_layer, up, 0 AS distance FROM node
+  UNION ALL
+  SELECT u.node, n.layer * 1000000 + n.cluster, n.up_layer, n.up, u.distance + 1 FROM up u JOIN node n ON n.layer = u.up_layer AND n.cluster = u.up)"""
+_CHAT = """
+WITH said AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {user} || coalesce(text, '') || {end} ELSE coalesce(text, '') END AS part
+  FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT a.conv_id, a.turn, {start} || string_agg(b.part, '' ORDER BY b.turn, b.role, b.part) AS {name}
+FROM said a JOIN said b ON a.conv_id = b.conv_id AND b.turn <= a.turn WHERE a.role = 'user' GROUP BY a.conv_id, a.turn
+"""
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "vdb_details": "SELECT 'double' AS type, max(len(embedding))::BIGINT AS vector_length, count(*) AS entries FROM embeddings",
+        "vdb_entry_lookup": "SELECT vec_id AS row_id, k - 1 AS pos, round(embedding[k]::DOUBLE, 6) AS x FROM embeddings, range(1, 65) r(k) WHERE vec_id % 20 = 0",
+        "vdb_texts_by_index": "SELECT item_id AS pos, doc_id AS row_id, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 7 % 50",
+        "cosine_pairwise": _pairs_sql(_COS),
+        "l2_pairwise": _pairs_sql(_L2),
+        "yule_pairwise": _pairs_sql(_YULE),
+        "yule_simd_compat": "SELECT vec_id // 20 * 20 AS query_id, vec_id AS row_id, true AS undefined FROM embeddings",
+        "knn_cosine": _knn_sql(_COS),
+        "knn_l2": _knn_sql(_L2),
+        "knn_yule": _knn_sql(_YULE),
+        "eps_neighbors": f"WITH {_V} SELECT a.i, b.i AS j, round({_COS}, 6) + 0 AS distance FROM v a JOIN v b ON {_COS} <= {density.radii(COSINE_RADIUS, 0, 1)[0]!r}",
+        "eps_degree": f"WITH {_V} SELECT a.i AS row_id, count(*) AS degree FROM v a JOIN v b ON {_COS} <= {density.radii(COSINE_RADIUS, 0, 1)[0]!r} GROUP BY a.i",
+        "dbscan_cosine": _dbscan_sql(_COS, COSINE_RADIUS),
+        "dbscan_yule": _dbscan_sql(_YULE, YULE_RADIUS),
+        "dbscan_l2": _dbscan_sql(_L2, PLANE_RADIUS),
+        "adaptive_layers": _LAYERS + "SELECT layer, row_id, label, cluster FROM mem",
+        "layer_stats": _LAYERS + "SELECT layer::BIGINT AS layer, step::BIGINT AS step, n AS clusters FROM acc",
+        "layer_coverage": _LAYERS + "SELECT layer, count(*) AS covered, (SELECT count(*) FROM v) - count(*) AS noise, round(count(*) / (SELECT count(*) FROM v), 6) AS coverage FROM mem GROUP BY layer",
+        "layer_edges": _LAYERS + "SELECT layer, cluster, child_layer, child, common FROM edge",
+        "cluster_intersections": _LAYERS + "SELECT a.cluster AS cluster_a, b.cluster AS cluster_b, count(*) AS common FROM mem a JOIN mem b USING (row_id) WHERE a.layer = 0 AND b.layer = 1 GROUP BY ALL",
+        "noise_rows": _LAYERS + "SELECT i AS row_id FROM v WHERE NOT EXISTS (SELECT 1 FROM mem WHERE layer = 0 AND mem.row_id = v.i)",
+        "cluster_counts": _LAYERS + "SELECT layer, count(DISTINCT cluster) AS clusters FROM mem GROUP BY layer",
+        "cluster_members": _LAYERS + "SELECT layer, cluster, row_number() OVER (PARTITION BY layer, cluster ORDER BY row_id) - 1 AS pos, row_id FROM mem",
+        "cluster_sub_vdb": _LAYERS + "SELECT layer, cluster, count(*) AS n, round(sum(e[1]), 5) AS sum_x, round(sum(e[2]), 5) AS sum_y FROM mem JOIN v ON v.i = mem.row_id GROUP BY layer, cluster",
+        "pca_means": "SELECT k - 1 AS feature, round(avg(embedding[k]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(k) GROUP BY k",
+        "pca_covariance": "SELECT a.k - 1 AS i, b.k - 1 AS j, round(covar_pop(embedding[a.k]::DOUBLE, embedding[b.k]::DOUBLE), 8) AS cov FROM embeddings, range(1, 65) a(k), range(1, 65) b(k) WHERE b.k <= a.k GROUP BY a.k, b.k",
+        "word_counts": f"WITH {_WORDS} SELECT word, count(*) AS n FROM w GROUP BY word",
+        "first_occurrence_words": """WITH l AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM l) SELECT doc_id AS row_id, word, min(pos) AS first, count(*) AS n FROM w GROUP BY doc_id, word""",
+        "longest_word": f"WITH {_WORDS} SELECT max(strlen(word))::BIGINT AS bytes FROM w",
+        "byte_alphabet": f"WITH {_WORDS}, h AS (SELECT unnest({_HEX}) AS h FROM w) SELECT row_number() OVER (ORDER BY h) - 1 AS id, ('0x' || h)::BIGINT AS byte, count(*) AS n FROM h GROUP BY h",
+        "bpe_best_pair": f"""WITH {_WORDS}, u AS (SELECT word, count(*) AS n FROM w GROUP BY word), h AS (SELECT {_HEX} AS h, n FROM u),
+alphabet AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS id FROM (SELECT DISTINCT unnest(h) AS h FROM h)),
+p AS (SELECT unnest(h) AS x, unnest(list_append(h[2:], 'end')) AS y, n FROM h),
+i AS (SELECT a.id AS a, coalesce(b.id, (SELECT count(*) FROM alphabet)) AS b, n FROM p JOIN alphabet a ON a.h = x LEFT JOIN alphabet b ON b.h = y)
+SELECT a, b, sum(n)::BIGINT AS n FROM i GROUP BY a, b ORDER BY 3 DESC, b, a LIMIT 1""",
+        "jsonl_extract": "SELECT event_id AS row_id, json_extract_string(props, '$.k') AS text FROM events",
+        "qrels_max_score": f"WITH {_QRELS} SELECT q::VARCHAR AS query_id, max(score)::BIGINT AS best FROM q GROUP BY q",
+        "beir_accuracy": f"""WITH {_V}, {_QRELS}, near AS (SELECT a.i AS q, b.i AS c, row_number() OVER (PARTITION BY a.i ORDER BY {_COS}, b.i) AS rank FROM v a JOIN v b ON a.i % 20 = 0),
+two AS (SELECT q, max(c) FILTER (rank = 1) AS one, max(c) FILTER (rank = 2) AS two FROM near WHERE rank <= 2 GROUP BY q),
+best AS (SELECT sum(m)::BIGINT AS possible FROM (SELECT max(score) AS m FROM q GROUP BY q)),
+got AS (SELECT coalesce(sum(score), 0)::BIGINT AS reached FROM two JOIN q ON q.q = two.q AND q.c = two.two WHERE one = two.q)
+SELECT reached, possible, round(reached / possible, 6) AS accuracy FROM got, best""",
+        "label_ids": "SELECT label::BIGINT AS label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS id, min(vec_id) AS first FROM embeddings GROUP BY label",
+        "contingency": _LAYERS + _CELLS + " SELECT layer, cluster, truth AS label, n FROM t",
+        "ari_score": _LAYERS + _MARGINS + """ SELECT layer, docs, CASE WHEN k >= 2 THEN round(CASE WHEN (pa + pb) / 2 = pa * pb / (docs * (docs - 1) / 2) THEN 1.0
+ELSE (p - pa * pb / (docs * (docs - 1) / 2)) / ((pa + pb) / 2 - pa * pb / (docs * (docs - 1) / 2)) END, 6) END AS ari FROM s JOIN rr USING (layer) JOIN cc USING (layer) JOIN tt USING (layer)""",
+        "nmi_score": _LAYERS + _MARGINS + " SELECT layer, docs, CASE WHEN k >= 2 THEN round(mi / ((ha + hb) / 2), 6) END AS nmi FROM s JOIN rr USING (layer) JOIN cc USING (layer) JOIN tt USING (layer)",
+        "corpus_stats": r"WITH w AS (SELECT len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS n FROM documents) SELECT count(*) AS texts, round(avg(n), 6) AS mean_words, round(stddev_pop(n), 6) AS sd_words FROM w",
+        "node_label_mix": _LAYERS + _CELLS + " SELECT layer, cluster, truth AS label, n, round(ln(1 + n) / max(ln(1 + n)) OVER (PARTITION BY layer), 6) AS intensity FROM t",
+        "rag_prompt": f"""WITH {_V}, near AS (SELECT a.i AS q, b.i AS c, row_number() OVER (PARTITION BY a.i ORDER BY {_COS}, b.i) AS rank FROM v a JOIN v b ON a.i % 20 = 0),
+body AS (SELECT q, string_agg('Context ' || rank || ':' || chr(10) || coalesce(text, '') || ' ' || chr(10) || ' ', '' ORDER BY rank) AS body FROM near LEFT JOIN documents ON doc_id = c WHERE rank <= 3 GROUP BY q)
+SELECT item_id * 20 AS query_id, {_quoted(rag.SYSTEM + rag.WITH_CONTEXT)} || coalesce(body, '') || {_quoted(rag.USER)} || text || {_quoted(rag.ASSISTANT)} AS prompt FROM benchmark LEFT JOIN body ON q = item_id * 20""",
+        "chat_prompt": _CHAT.format(user=_quoted(rag.USER), end=_quoted(rag.ANSWER), start=_quoted(rag.SYSTEM + rag.PLAIN), name="prompt"),
+        "conversation_history": _CHAT.format(user=_quoted(rag.USER), end=_quoted(rag.ASSISTANT), start="''", name="history"),
+        "annotation_chunks": _LAYERS + f" SELECT layer, cluster, unnest(range(CASE WHEN n > {CHUNK} THEN ceil(3 * n / {CHUNK})::BIGINT ELSE 1 END)) AS chunk, least(n, {CHUNK}) AS n FROM size",
+        "annotation_qc": "SELECT conv_id, turn, b AS bad, CASE WHEN b THEN least(length(text), 20000) END AS n_correction FROM (SELECT *, coalesce(contains(rtrim(text), chr(10)) OR length(text) > 80, true) AS b FROM conversations)",
+        "mapping_rows": _LAYERS + " SELECT 'L' || layer || 'C' || cluster || 'N' || count(*) AS key, count(*) AS doc_count, string_agg(row_id::VARCHAR, ',' ORDER BY row_id) AS article_ids, NULL::VARCHAR AS label FROM mem GROUP BY layer, cluster",
+        "article_rows": "SELECT event_id::VARCHAR AS id, coalesce(json_extract_string(props, '$.k'), '') AS title, coalesce(json_extract_string(props, '$.v'), '') AS content FROM events WHERE trim(props) <> ''",
+        "tree_ancestry": _LAYERS + _UP + " SELECT node, ancestor, distance::BIGINT AS distance FROM up",
+        "top_branch": _LAYERS + _UP + " SELECT node, arg_min(ancestor, n) AS branch FROM (SELECT *, -row_number() OVER (PARTITION BY node ORDER BY distance DESC) AS n FROM up) WHERE n >= -2 GROUP BY node",
+        "tree_stats": _LAYERS + " SELECT count(*) AS nodes, count(*) FILTER (NOT EXISTS (SELECT 1 FROM edge WHERE edge.layer = node.layer AND edge.cluster = node.cluster)) AS leaves, count(*) FILTER (up IS NULL) AS roots FROM node",
+    }
