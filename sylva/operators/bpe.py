@@ -16,8 +16,8 @@ from sylva.functions.text import words
 from sylva.session import cut, ship
 
 END, UNKNOWN = "</w>", "<unk>"
-#: Merges between two cuts of the lineage.
-CUT_EVERY = 8
+#: Merges tried at once, and rounds between two cuts of the lineage.
+AT_ONCE, CUT_EVERY = 16, 3
 
 
 @dataclass
@@ -91,9 +91,20 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.size("tokens") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
-def best_pair(tokens: DataFrame):
-    """The most frequent pair; ties go to the smaller second id, then the smaller first. None if no pair is left."""
-    return pair_counts(tokens).orderBy(F.desc("n"), "b", "a").first()
+def best_pairs(tokens: DataFrame, most: int) -> list[tuple[int, int]]:
+    """The next merges, at most so many: the most frequent pair, and those after it in order while no id recurs.
+
+    Ties go to the smaller second id, then the smaller first. A merge changes only counts of pairs with one of its ids,
+    and a pair with the new id is no more frequent than the pair of old ids it came from, and loses ties; so pairs that
+    share no id with those before them keep both their counts and their places.
+    """
+    out, seen = [], set()
+    for r in pair_counts(tokens).orderBy(F.desc("n"), "b", "a").limit(most).collect():
+        if {r.a, r.b} & seen:
+            break
+        out.append((r.a, r.b))
+        seen |= {r.a, r.b}
+    return out
 
 
 def merged(tokens: Column, a: int, b: int, c: int) -> Column:
@@ -106,21 +117,21 @@ def merged(tokens: Column, a: int, b: int, c: int) -> Column:
 def train(docs: DataFrame, size: int) -> Tokenizer:
     """Learn merges until there are `size` tokens, or no pair is left; no merge if the alphabet alone is as large.
 
-    One aggregation a merge over the distinct words, which stay distributed; only the winning pair comes back.
+    One aggregation for every few merges over the distinct words, which stay distributed; only winning pairs come back.
     """
     alphabet = bytes(r.byte for r in byte_alphabet(docs).orderBy("byte").collect())
     tokens = [bytes([b]) for b in alphabet] + [END.encode(), UNKNOWN.encode()]
     end = len(alphabet)
     now = cut(distinct_words(docs).select(first_tokens(F.col("word"), {b: i for i, b in enumerate(alphabet)}, end, end + 1).alias("tokens"), "n"))
     rules: list[tuple[int, int, int]] = []
-    while len(tokens) < size:
-        best = best_pair(now)
-        if best is None:
-            break
-        rules.append((best.a, best.b, len(tokens)))
-        tokens.append(tokens[best.a] + tokens[best.b])
-        now = now.withColumn("tokens", merged(F.col("tokens"), *rules[-1]))
-        if len(rules) % CUT_EVERY == 0:
+    rounds = 0
+    while len(tokens) < size and (pairs := best_pairs(now, min(AT_ONCE, size - len(tokens)))):
+        for a, b in pairs:
+            rules.append((a, b, len(tokens)))
+            tokens.append(tokens[a] + tokens[b])
+            now = now.withColumn("tokens", merged(F.col("tokens"), *rules[-1]))
+        rounds += 1
+        if rounds % CUT_EVERY == 0:
             now = cut(now)
     return Tokenizer(alphabet, tokens, rules)
 

@@ -46,8 +46,8 @@ def cluster_scores(table: DataFrame) -> DataFrame:
     each = table.join(rows, ["layer", "cluster"]).join(columns, ["layer", "label"]).join(total, "layer")
     mutual = F.col("n") / F.col("docs") * (F.log(F.col("n").cast("double")) + F.log(F.col("docs").cast("double")) - F.log(F.col("a").cast("double")) - F.log(F.col("b").cast("double")))
     cells = each.groupBy("layer").agg(F.sum(pairs("n")).alias("same"), F.sum(mutual).alias("mi"))
-    left = rows.join(total, "layer").groupBy("layer").agg(F.sum(pairs("a")).alias("row_pairs"), -F.sum(plogp("a")).alias("h_rows"), F.count(F.lit(1)).alias("clusters"))
-    right = columns.join(total, "layer").groupBy("layer").agg(F.sum(pairs("b")).alias("column_pairs"), -F.sum(plogp("b")).alias("h_columns"))
+    left = rows.join(total, "layer").groupBy("layer").agg(F.sum(pairs("a")).alias("row_pairs"), (-F.sum(plogp("a"))).alias("h_rows"), F.count(F.lit(1)).alias("clusters"))
+    right = columns.join(total, "layer").groupBy("layer").agg(F.sum(pairs("b")).alias("column_pairs"), (-F.sum(plogp("b"))).alias("h_columns"))
     known = total.join(cells, "layer").join(left, "layer").join(right, "layer")
     all_pairs = F.greatest(pairs("docs"), F.lit(1.0))
     expected = F.col("row_pairs") * F.col("column_pairs") / all_pairs

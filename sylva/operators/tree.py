@@ -87,8 +87,8 @@ def mapping(members: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 def articles(rows: DataFrame, title: str = "title", content: str = "content") -> DataFrame:
     """id, title, content of JSON lines (row_id, value); blank lines are left out but counted; missing fields are empty."""
-    field = lambda f: F.coalesce(F.get_json_object("value", f"$.{f}"), F.lit("")).alias(f)
-    return rows.where(F.trim("value") != "").select(F.col("row_id").cast("string").alias("id"), field(title), field(content))
+    field = lambda f: F.coalesce(F.get_json_object("value", f"$['{f}']"), F.lit(""))
+    return rows.where(F.trim("value") != "").select(F.col("row_id").cast("string").alias("id"), field(title).alias("title"), field(content).alias("content"))
 
 
 def nodes(members: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ K = 5
 MINPTS = 5
 COSINE_RADIUS, YULE_RADIUS, PLANE_RADIUS = 0.68, 0.40, 0.02
 START, STEP, STEPS = 0.02, 0.005, 16
-VOCABULARY = 160
+VOCABULARY = 128
 SLICE = 200
 CHUNK = 40
 
