@@ -10,8 +10,10 @@ an edit weighs about as much as the text around it even inside a group of copies
 shingles' own frequencies would leave only the edits to compare. Word frequencies are counted over all documents in a
 table of fixed size, so what each executor holds does not grow with the data.
 
-Equal texts are one class from the start. Within a bucket every member is compared with the smallest one; what remains
-apart after that is compared across the remaining components, block against block, so no candidate pair is lost.
+Equal texts are one class from the start. Within a bucket every member is compared with the smallest one. What remains
+apart after that is compared across the remaining components, in blocks of bounded size whose tasks return the links they
+verify and no pairs; so no candidate pair is lost, and what is sent grows with a bucket's size, not with its square, but
+for a factor of its stragglers over BLOCK.
 """
 
 from __future__ import annotations
@@ -26,20 +28,20 @@ from pyspark.sql import functions as F
 
 from sylva.llm import ngrams as ng
 from sylva.llm.common import map_batches, prepare, texts_of
-from sylva.llm.components import components
+from sylva.operators.graph import components
 from sylva.session import cut
 
 WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 14 = 0.0006; of 0.85, with 0.00003.
 BANDS, ROWS = 14, 4
-#: Candidates whose samples agree less often are not verified: 4.6 standard deviations below 0.8.
-LIKELY = 0.55
+#: Candidates whose samples agree less often are not verified: 3.7 standard deviations below 0.8.
+LIKELY = 0.6
 FREQUENCY_BITS, CHUNK = 20, 1024
 #: Up to so many ids (8 MB) the ids of candidate texts are broadcast; beyond, joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a bucket that are compared with one another in one task.
-BLOCK = 64
+#: Members of a bucket that are compared with as many others in one task.
+BLOCK = 256
 
 _mult = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -228,6 +230,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, idf) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: DataFrame, idf) -> DataFrame:
+    """Links (a, b) between members of one bucket whose components are not one yet.
+
+    The members of a bucket's largest component meet the others, and the others one another; a pair that shares several
+    buckets is compared in the first. Within a task likelier pairs come first, and components that a link joins are one
+    from then on.
+    """
+    placed = banded.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all")).where("m < all")
+    mixed = mixed.select("key", "main", F.ceil(F.col("m") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("m")) / BLOCK).alias("others"))
+    own = placed.join(mixed, "key").withColumn("is_main", F.col("component") == F.col("main"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    block = F.col("block")
+    cells = F.when(F.col("is_main"), F.transform(span(F.col("others")), lambda j: cell("main", block, j))).otherwise(
+        F.concat(F.transform(span(F.col("mains")), lambda i: cell("main", i, block)), F.transform(span(F.col("others")), lambda j: cell("other", F.least(block, j), F.greatest(block, j))))
+    )
+    own = cut(own.select("key", "rep", "component", "is_main", "block", cells.alias("cells")))
+    ids = own.select(F.col("rep").alias("doc_id")).distinct()
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
+    facts = classes.dropDuplicates(["rep"]).select("rep", "weight", "sig", "bands").join(texts, "rep")
+    dealt = own.withColumn("cell", F.explode("cells")).select("key", "cell.kind", "cell.i", "cell.j", "rep", "component", "is_main", "block").join(facts, "rep")
+
+    def run(table: pa.Table) -> pa.Table:
+        kind, i, j, key = (table.column(c)[0].as_py() for c in ("kind", "i", "j", "key"))
+        rep, main, at, group, weight = (np.array(table.column(c)) for c in ("rep", "is_main", "block", "component", "weight"))
+        sig, bands = (np.stack(table.column(c).to_pandas()) for c in ("sig", "bands"))
+        if kind == "main":
+            left, right = np.flatnonzero(main), np.flatnonzero(~main)
+        else:
+            left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        found_a, found_b, sets = [], [], {}
+        pairs = []
+        for x in left:
+            own = right if kind == "main" or i != j else right[right > x]
+            agree = (sig[own] == sig[x]).mean(1)
+            close = np.minimum(weight[own], weight[x]) >= (SIMILARITY - 1e-6) * np.maximum(weight[own], weight[x])
+            same = bands[own] == bands[x]
+            first = bands[x][same.argmax(1)] == key
+            keep = np.flatnonzero((agree >= LIKELY) & close & first & (group[own] != group[x]))
+            pairs += [(-float(agree[k]), int(x), int(own[k])) for k in keep]
+        root = {g: g for g in group.tolist()}
+
+        def top(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        text = table.column("text")
+        for _, x, y in sorted(pairs):
+            gx, gy = top(int(group[x])), top(int(group[y]))
+            if gx == gy:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingles(word_hashes(text[k].as_py() or ""), idf.value)
+            if similarity(sets[x], sets[y]) >= SIMILARITY:
+                found_a.append(int(rep[x])), found_b.append(int(rep[y]))
+                root[max(gx, gy)] = min(gx, gy)
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return dealt.groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, cluster_id, kept for each row of docs (doc_id, text, ...).
 
@@ -255,17 +325,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = cut(_verified(cut(named.where(_likely("x", "y")).select("a", "b")), docs, idf))
     near = cut(components(first))
 
-    # against the other components of each bucket
-    placed = banded.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
-    blocks = placed.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").join(facts, "rep")
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    blocks = blocks.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "component", "weight", "sig")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    apart = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.block") != F.col("y.block")))
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & apart & _likely("x", "y"))
-    rest = cut(rest.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct())
-    second = _verified(rest, docs, idf)
+    second = cut(_stragglers(banded, near, classes, docs.where("doc_id is not null"), idf))
 
     groups = components(first.union(second).union(copies))
     out = docs.select("doc_id").join(groups, F.col("doc_id") == F.col("node"), "left")

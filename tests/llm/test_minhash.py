@@ -3,7 +3,8 @@ import random
 
 import numpy as np
 
-from sylva.llm import components, minhash
+from sylva.llm import minhash
+from sylva.operators import graph
 
 WORDS = ["w%d" % i for i in range(400)]
 
@@ -75,6 +76,6 @@ def test_components(spark):
     for _ in range(200):
         for a, b in links:
             want[a] = want[b] = min(want[a], want[b])
-    got = components.components(spark.createDataFrame(links, "a long, b long"))
+    got = graph.components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.component for r in got.collect()} == want
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
