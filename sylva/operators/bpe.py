@@ -87,8 +87,9 @@ def first_tokens(word: Column, ids: dict[int, int], end: int, unknown: int) -> C
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
     """a, b, n: how often two ids stand side by side, by (tokens, n)."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.struct(F.element_at("tokens", i).alias("a"), F.element_at("tokens", i + 1).alias("b")))
-    return tokens.where(F.size("tokens") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    side = F.size("tokens") - 1
+    pairs = F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), side).alias("a"), F.slice("tokens", F.lit(2), side).alias("b")))
+    return tokens.where(F.size("tokens") > 1).select(pairs.alias("p"), "n").select("p.a", "p.b", "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def best_pairs(tokens: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -111,7 +112,8 @@ def merged(tokens: Column, a: int, b: int, c: int) -> Column:
     def add(acc: Column, x: Column) -> Column:
         return F.when((x == b) & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == a), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.lit(c))).otherwise(F.array_append(acc, x))
 
-    return F.aggregate(tokens, F.array().cast("array<int>"), add)
+    both = F.array_contains(tokens, a) & F.array_contains(tokens, b)
+    return F.when(both, F.aggregate(tokens, F.array().cast("array<int>"), add)).otherwise(tokens)
 
 
 def train(docs: DataFrame, size: int) -> Tokenizer:

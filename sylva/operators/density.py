@@ -12,17 +12,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.operators.graph import components
 from sylva.operators.knn import pairwise
-from sylva.session import cut
+from sylva.session import cut, ship
 
 #: Row ids are below this, so that (step, row) fits one long.
 ROW_BITS = 44
 #: Radii that are clustered in one go.
 STEPS_AT_ONCE = 8
+#: Up to so many neighbour pairs (32 MB) one task labels all points of a radius; beyond, joins do.
+TASK_PAIRS = 2_000_000
 
 
 def neighbours(rows: DataFrame, radius: float, metric: str = "cosine", bits: int | None = None) -> DataFrame:
@@ -55,13 +58,72 @@ def degrees(nb: DataFrame) -> DataFrame:
     return nb.groupBy("i").agg(F.count(F.lit(1)).alias("degree")).withColumnRenamed("i", "row_id")
 
 
-def dbscan_many(nb: DataFrame, radii: list[float], minpts: int) -> DataFrame:
+def _settle(label: np.ndarray, u: np.ndarray, v: np.ndarray, guard: np.ndarray) -> np.ndarray:
+    """Pass labels along edges u to v until none falls; where guard holds only labels below v pass."""
+    while True:
+        pass_ = ~guard | (label[u] < v)
+        after = label.copy()
+        np.minimum.at(after, v[pass_], label[u[pass_]])
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _label(minpts: int):
+    """The rule for all pairs of one radius, in one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        step = table.column("step")[0].as_py()
+        ids, at = np.unique(np.concatenate([np.array(table.column("i")), np.array(table.column("j"))]), return_inverse=True)
+        i, j = at[: table.num_rows], at[table.num_rows :]
+        n = len(ids)
+        degree = np.bincount(i, minlength=n)
+        seed, core = degree > minpts, degree >= minpts
+        root = np.arange(n)
+        u, v = i[seed[i] & seed[j]], j[seed[i] & seed[j]]
+        while True:  # components of touching seeds: hook to the smaller root, then jump
+            low = root.copy()
+            np.minimum.at(low, root[u], root[v])
+            low = low[low]
+            if (low == root).all():
+                break
+            root = low
+        none = n
+        label = np.where(seed, root, none)
+        inner = core[i] & core[j] & ~(seed[i] & seed[j]) & (i != j)
+        a, b = np.where(seed[i], root[i], i)[inner], np.where(seed[j], root[j], j)[inner]
+        label = _settle(label, a, b, ~seed[b])
+        label = np.where(seed, label[root], label)
+        settled = np.where(core, label, none)
+        border = settled == none
+        out = settled.copy()
+        edge = border[j] & (settled[i] < none)
+        np.minimum.at(out, j[edge], settled[i[edge]])
+        got = np.flatnonzero(out < none)
+        return pa.table({"step": pa.array(np.full(len(got), step), pa.int64()), "row_id": ids[got], "label": ids[out[got]]})
+
+    return run
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    names = rows.select("step", "label").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy("step").orderBy("label")) - 1)
+    return rows.join(names, ["step", "label"]).select("step", "row_id", "label", "cluster")
+
+
+def dbscan_many(nb: DataFrame, radii: list[float], minpts: int, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """step, row_id, label, cluster for each radius in turn; noise is absent.
 
-    Seeds that touch are one component, found by logarithmically many joins for all radii at once; then labels pass
-    between components and semi-core points until nothing changes.
+    Where there are few pairs, one task labels each radius. Else seeds that touch are one component, found by
+    logarithmically many joins for all radii at once; then labels pass between components and semi-core points until
+    nothing changes.
     """
     spark = nb.sparkSession
+    nb = cut(nb.select("i", "j", "distance"))
+    if nb.count() <= task_pairs:
+        ship(spark)
+        steps = spark.createDataFrame([(k, float(np.float32(r))) for k, r in enumerate(radii)], "step long, radius double")
+        edges = nb.join(F.broadcast(steps), F.col("distance") <= F.col("radius")).select("step", "i", "j")
+        return _numbered(edges.groupBy("step").applyInArrow(_label(minpts), "step long, row_id long, label long"))
     steps = spark.createDataFrame([(k, float(np.float32(r))) for k, r in enumerate(radii)], "step long, radius double")
     edges = nb.join(F.broadcast(steps), F.col("distance") <= F.col("radius")).select("step", "i", "j")
     degree = edges.groupBy("step", "i").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") >= minpts)
@@ -89,8 +151,7 @@ def dbscan_many(nb: DataFrame, radii: list[float], minpts: int) -> DataFrame:
     reached = links.join(inner.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("label")).join(inner.select("v"), "v", "left_anti")
     mask = F.lit((1 << ROW_BITS) - 1)
     rows = inner.unionByName(reached).select(F.shiftright("v", ROW_BITS).alias("step"), F.col("v").bitwiseAND(mask).alias("row_id"), F.col("label").bitwiseAND(mask).alias("label"))
-    names = rows.select("step", "label").distinct().withColumn("cluster", F.row_number().over(Window.partitionBy("step").orderBy("label")) - 1)
-    return rows.join(names, ["step", "label"]).select("step", "row_id", "label", "cluster")
+    return _numbered(rows)
 
 
 def dbscan(nb: DataFrame, radius: float = 0.015, minpts: int = 5) -> DataFrame:
@@ -122,31 +183,30 @@ def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int =
     left, or for max_steps; a run is a layer if it has fewer clusters than the layer before. Layer 0 is the densest.
     Radii are clustered several at once over one table of neighbours.
     """
-    for _ in range(21):
-        first = cut(dbscan_many(nb_at(start), [start], minpts))
-        if first.select("cluster").distinct().count() != 1:
+    for halved in range(21):
+        members, stats, least, done = None, [], None, 0
+        every = radii(start, step, max_steps)
+        while done < max_steps:
+            batch = every[done : done + STEPS_AT_ONCE]
+            found = cut(dbscan_many(nb_at(batch[-1]), batch, minpts))
+            counts = {r.step: r.n for r in found.groupBy("step").agg(F.countDistinct("cluster").alias("n")).collect()}
+            if not done and counts.get(0, 0) == 1:
+                break
+            for k, radius in enumerate(batch):
+                n = counts.get(k, 0)
+                if least is None or n < least:
+                    own = found.where(F.col("step") == k).select(F.lit(len(stats)).alias("layer"), "row_id", "label", "cluster")
+                    members = own if members is None else members.unionByName(own)
+                    stats.append((len(stats), done + k, radius, n))
+                    least = n
+                if n <= 1:
+                    break
+            done += len(batch)
+            if least <= 1:
+                break
+        if members is not None:
             break
         start = float(np.float32(start) / 2)
     else:
         raise ValueError("one cluster at every radius tried")
-    members, stats, least, done = None, [], None, 0
-    every = radii(start, step, max_steps)
-    while done < max_steps:
-        batch = every[done : done + STEPS_AT_ONCE]
-        found = cut(dbscan_many(cut(nb_at(batch[-1])), batch, minpts))
-        counts = {r.step: r.n for r in found.groupBy("step").agg(F.countDistinct("cluster").alias("n")).collect()}
-        stop = False
-        for k, radius in enumerate(batch):
-            n = counts.get(k, 0)
-            if least is None or n < least:
-                own = found.where(F.col("step") == k).select(F.lit(len(stats)).alias("layer"), "row_id", "label", "cluster")
-                members = own if members is None else members.unionByName(own)
-                stats.append((len(stats), done + k, radius, n))
-                least = n
-            if n == 1:
-                stop = True
-                break
-        done += len(batch)
-        if stop or least == 0:
-            break
     return Layers(cut(members), stats)

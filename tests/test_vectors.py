@@ -84,13 +84,13 @@ def sequential(dist, eps, minpts):
 
 def test_density_matches_a_sequential_scan(spark):
     rng = random.Random(5)
-    for trial in range(3):
+    for trial in range(6):
         x = np.array([[rng.randrange(12), rng.randrange(12)] for _ in range(70)], float)
         minpts = rng.choice([2, 3, 4])
         eps = [1.0, 1.5, 2.0]
         df = rows(spark, x)
         nb = density.neighbours_on_grid(df, 2.0) if trial % 2 else density.neighbours(df, 2.0, "l2")
-        got = density.dbscan_many(nb.cache(), eps, minpts).collect()
+        got = density.dbscan_many(nb.cache(), eps, minpts, task_pairs=0 if trial == 1 else 10**6).collect()
         for k, e in enumerate(eps):
             want = sequential(distances.block("l2", x, x), e, minpts)
             assert {r.row_id: r.label for r in got if r.step == k} == {i: v for i, v in enumerate(want) if v is not None}
@@ -141,3 +141,15 @@ def test_pca(spark):
     compat = pca.fit(rows(spark, x), tail_compat=True).covariance
     centred = (x - x.mean(0))[:48]
     assert compat == pytest.approx(centred.T @ centred / 51)
+
+
+def test_rule_in_one_task_matches_a_sequential_scan():
+    import pyarrow as pa
+
+    rng = random.Random(11)
+    for _ in range(400):
+        x = np.array([[rng.randrange(9), rng.randrange(9)] for _ in range(rng.randint(1, 45))], float)
+        d, minpts = distances.block("l2", x, x), rng.randint(1, 6)
+        i, j = np.nonzero(d <= 1.5)
+        got = density._label(minpts)(pa.table({"step": np.zeros(len(i), np.int64), "i": i, "j": j})).to_pylist()
+        assert {r["row_id"]: r["label"] for r in got} == {k: v for k, v in enumerate(sequential(d, 1.5, minpts)) if v is not None}
