@@ -57,7 +57,7 @@ def slices_of(data: bytes, size: int, drop_last_byte: bool = True) -> list[bytes
 
 
 def slices(docs: DataFrame, size: int, overlap: bool = False, drop_last_byte: bool = True) -> DataFrame:
-    """row_id, pos, slice; with overlap, the slices of the text after its first size / 2 bytes follow.
+    """row_id, pos, start, bytes, slice; with overlap, the slices of the text after its first size / 2 bytes follow.
 
     An overlap of more bytes than the text has is an error, as is a size below one. Null text is one empty slice.
     """
@@ -65,20 +65,23 @@ def slices(docs: DataFrame, size: int, overlap: bool = False, drop_last_byte: bo
 
     def run(batches):
         for batch in batches:
-            ids, pos, out = [], [], []
+            ids, pos, start, out = [], [], [], []
             for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                found = slices_of(data, size, drop_last_byte)
-                if overlap:
-                    if size // 2 > len(data):
-                        raise ValueError(f"row {row} is shorter than half a slice")
-                    found += slices_of(data[size // 2 :], size, drop_last_byte)
-                ids += [row] * len(found)
-                pos += range(len(found))
-                out += [s.decode("utf-8", "replace") for s in found]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(out, pa.string())], ["row_id", "pos", "slice"])
-
-    return docs.select(F.col("row_id").cast("long"), "text").mapInArrow(run, "row_id long, pos int, slice string")
+                if overlap and size // 2 > len(data):
+                    raise ValueError(f"row {row} is shorter than half a slice")
+                first = len(pos)
+                for begin in (0, size // 2) if overlap else (0,):
+                    for s in slices_of(data[begin:], size, drop_last_byte):
+                        ids.append(row)
+                        pos.append(len(pos) - first)
+                        start.append(begin)
+                        out.append(s)
+                        begin += len(s)
+            arrays = [pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(start, pa.int64()), pa.array([len(s) for s in out], pa.int64()), pa.array([s.decode("utf-8", "replace") for s in out], pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, ["row_id", "pos", "start", "bytes", "slice"])
+
+    return docs.select(F.col("row_id").cast("long"), "text").mapInArrow(run, "row_id long, pos int, start long, bytes long, slice string")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -301,11 +301,11 @@ def bpe_real_embedding(spark, d):
 
 
 def text_slices(spark, d):
-    return text.slices(corpus(spark, d), SLICE)
+    return text.slices(corpus(spark, d), SLICE).select("row_id", F.col("pos").cast("long").alias("pos"), "start", "bytes")
 
 
 def text_slices_overlap(spark, d):
-    return text.slices(corpus(spark, d).where(F.octet_length("text") >= SLICE), SLICE, overlap=True)
+    return text.slices(corpus(spark, d).where(F.octet_length("text") >= SLICE), SLICE, overlap=True).select("row_id", F.col("pos").cast("long").alias("pos"), "start", "bytes")
 
 
 def jsonl_extract(spark, d):
@@ -445,6 +445,17 @@ def _dbscan_sql(distance: str, radius: float) -> str:
 
 _WORDS = "w AS (SELECT doc_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS word FROM documents)"
 _HEX = "regexp_extract_all(hex(encode(word)), '..')"
+_SLICED = f"""
+WITH RECURSIVE h AS MATERIALIZED (SELECT doc_id, b, strlen(text) AS n, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents, ({{begins}}) t(b) {{where}}),
+d AS MATERIALIZED (SELECT doc_id, b, n - b AS n, list_filter(range(n - b), lambda i: h[i + b + 1] = '20') AS spaces FROM h),
+c(doc_id, b, k, start, done) AS (
+  SELECT doc_id, b, 0, 0::BIGINT, NULL::BIGINT FROM d
+  UNION ALL
+  SELECT c.doc_id, c.b, k + 1, coalesce(list_max(list_filter(spaces, lambda x: x > start AND x <= start + {SLICE})), start + {SLICE}), start
+  FROM c JOIN d USING (doc_id, b) WHERE start + {SLICE} < n - 1 AND n >= {SLICE}),
+s AS (SELECT doc_id, b, k, start, lead(start) OVER (PARTITION BY doc_id, b ORDER BY k) AS nxt, n FROM c JOIN d USING (doc_id, b))
+SELECT doc_id AS row_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, k) - 1 AS pos, b + start AS start, coalesce(nxt, CASE WHEN n < {SLICE} THEN n ELSE n - 1 END) - start AS bytes FROM s
+"""
 _QRELS = "q AS (SELECT a.vec_id AS q, b.vec_id AS c, 1 + b.vec_id % 3 AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"
 _CELLS = ", t AS (SELECT layer, cluster, truth, count(*) AS n FROM mem JOIN lbl USING (row_id) WHERE truth IS NOT NULL GROUP BY layer, cluster, truth)"
 _MARGINS = _CELLS + """,
@@ -509,6 +520,8 @@ alphabet AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS id FROM (SELECT DIS
 p AS (SELECT unnest(h) AS x, unnest(list_append(h[2:], 'end')) AS y, n FROM h),
 i AS (SELECT a.id AS a, coalesce(b.id, (SELECT count(*) FROM alphabet)) AS b, n FROM p JOIN alphabet a ON a.h = x LEFT JOIN alphabet b ON b.h = y)
 SELECT a, b, sum(n)::BIGINT AS n FROM i GROUP BY a, b ORDER BY 3 DESC, b, a LIMIT 1""",
+        "text_slices": _SLICED.format(begins="VALUES (0::BIGINT)", where=""),
+        "text_slices_overlap": _SLICED.format(begins=f"VALUES (0::BIGINT), ({SLICE // 2}::BIGINT)", where=f"WHERE strlen(text) >= {SLICE}"),
         "jsonl_extract": "SELECT event_id AS row_id, json_extract_string(props, '$.k') AS text FROM events",
         "qrels_max_score": f"WITH {_QRELS} SELECT q::VARCHAR AS query_id, max(score)::BIGINT AS best FROM q GROUP BY q",
         "beir_accuracy": f"""WITH {_V}, {_QRELS}, near AS (SELECT a.i AS q, b.i AS c, row_number() OVER (PARTITION BY a.i ORDER BY {_COS}, b.i) AS rank FROM v a JOIN v b ON a.i % 20 = 0),
