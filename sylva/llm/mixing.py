@@ -114,3 +114,28 @@ def apply_mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce('=' || source, '-') AS key,
+  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+a AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, {REPEATS} * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total
+  FROM (SELECT key, source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY key, source)),
+w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS weight FROM a),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, least(cap::DOUBLE, max(level) OVER () * weight) AS target, greatest(1, least({BLOCK_TOKENS}, total // {LEAST_BLOCKS})) AS block,
+  greatest(1, ceil(n / {SHARD_ROWS}))::BIGINT AS shards FROM l),
+q AS (SELECT key, count(*) AS quota FROM (SELECT key, seats, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, rank) AS r
+  FROM (SELECT key, target, rank, total // block AS seats, unnest(range(total // block)) AS k FROM t WHERE target > 0)) WHERE r <= seats GROUP BY key),
+p AS (SELECT t.*, coalesce(quota, 0) AS quota FROM t LEFT JOIN q USING (key)),
+e AS (SELECT d.*, p.source_size, p.target, p.block, p.quota, ('0x' || ord[1:8])::BIGINT % p.shards AS shard FROM d JOIN p USING (key)),
+s AS (SELECT key, shard, sum(size)::BIGINT AS shard_size, any_value(quota) AS quota, any_value(block) AS block FROM e GROUP BY key, shard),
+b AS (SELECT key, shard, count(*) AS blocks FROM (SELECT key, shard, quota, row_number() OVER (PARTITION BY key ORDER BY shard_size / (2 * k + 1) DESC, shard) AS r
+  FROM (SELECT key, shard, quota, shard_size, unnest(range(quota)) AS k FROM s WHERE shard_size > 0)) WHERE r <= quota GROUP BY key, shard),
+g AS (SELECT s.key, s.shard, shard_size, least(coalesce(blocks, 0) * block, {REPEATS} * shard_size) AS budget FROM s LEFT JOIN b USING (key, shard)),
+o AS (SELECT e.*, shard_size, budget, coalesce(sum(size) OVER (PARTITION BY e.key, e.shard ORDER BY ord, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM e JOIN g ON e.key = g.key AND e.shard = g.shard)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN shard_size > 0 THEN budget // shard_size * size + greatest(0, least(size, budget % shard_size - start)) ELSE 0 END)::BIGINT AS taken FROM o
+"""

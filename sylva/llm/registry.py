@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": vectors.SQL, "op10_warc": warc.SQL}
+    return {"op8_embedding_dedup": vectors.SQL, "op9_mixing": mixing.SQL, "op10_warc": warc.SQL}
