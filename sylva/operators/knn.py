@@ -54,14 +54,6 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def knn_columns(queries: DataFrame, corpus: DataFrame, k: int, distance) -> DataFrame:
-    """The same by column expressions alone, for a handful of queries: `distance` takes two vector columns."""
-    q = F.broadcast(queries.limit(1024).select(F.col("row_id").alias("query_id"), F.col("vector").alias("_q")))
-    order = Window.partitionBy("query_id").orderBy("distance", "row_id")
-    near = corpus.join(q).select("query_id", "row_id", distance(F.col("_q"), F.col("vector")).alias("distance"))
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def pairwise(rows: DataFrame, metric: str = "cosine", bits: int | None = None, radius: float | None = None, diagonal: bool = True) -> DataFrame:
     """i, j, distance for j <= i (or j < i): all pairs, or those within the radius.
 
