@@ -21,7 +21,7 @@ from sylva.llm.sampling import training_rows
 BITS = 13
 SIZES = (1, 2, 3)
 #: Bound of the training sample, in documents of each language.
-PER_LANGUAGE = 700
+PER_LANGUAGE = 400
 #: Below this score a text is ambiguous.
 AMBIGUOUS = 0.6
 UNKNOWN = "und"
@@ -86,11 +86,12 @@ def train(rows: list[tuple[str, str]], epochs: int = 12, rate: float = 0.5, seed
     width = code.shape[1]
     if not rows:
         return Model([], code, np.zeros((1 << BITS, width), np.float32), np.zeros(width), np.ones(width))
-    x = np.stack([features(t) for t, _ in rows])
-    scale = 1 / (x.std(0) + 1e-3)
+    x = np.stack([(1024 * features(t)).astype(np.float16) for t, _ in rows])  # half precision: the sample stays in the driver
+    parts = np.array_split(np.arange(len(rows)), max(1, len(rows) // 256))
+    mean = sum(x[p].sum(0, dtype=np.float32) for p in parts) / len(rows)
+    scale = 1 / (np.sqrt(sum(((x[p] - mean) ** 2).sum(0, dtype=np.float32) for p in parts) / len(rows)) + 1)
     y = code[[languages.index(v) for _, v in rows]].astype(np.float32)
     rng, w, b = np.random.default_rng(seed), np.zeros((1 << BITS, width), np.float32), np.zeros(width, np.float32)
-    mean = x.mean(0)
     for epoch in range(epochs):
         for batch in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 32)):
             xb = (x[batch] - mean) * scale
@@ -99,10 +100,10 @@ def train(rows: list[tuple[str, str]], epochs: int = 12, rate: float = 0.5, seed
             step = rate * (1 - epoch / epochs) / len(batch)
             w -= (step / 30) * (xb.T @ g) + 1e-5 * w
             b -= step * g.sum(0)
-    right = ((((x - mean) * scale) @ w + b) * y > 0).mean(0)
+    right = sum(((((x[p] - mean) * scale) @ w + b) * y[p] > 0).sum(0) for p in parts) / len(rows)
     reliability = np.log((right + 0.01) / (1.01 - right)).clip(0.1, 5)
     w = w * scale[:, None]
-    return Model(languages, code, w.astype(np.float32), b - mean @ w, reliability / reliability.mean())
+    return Model(languages, code, (1024 * w).astype(np.float32), b - mean @ w, reliability / reliability.mean())
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

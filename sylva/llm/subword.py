@@ -23,7 +23,7 @@ BITS = 16
 SIZES = (3, 4, 5)
 ROWS = 2 * (1 << BITS) + 1
 #: Bound of the training sample, in documents of each class.
-PER_CLASS = 2500
+PER_CLASS = 1200
 THRESHOLD = 0.7
 
 
@@ -41,7 +41,7 @@ def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
     rows, counts = np.unique(grams, return_counts=True)
     wrows, wcounts = np.unique(words, return_counts=True)
     idx = np.concatenate([rows.astype(np.int64), wrows, [ROWS - 1]])
-    return idx.astype(np.int32), np.concatenate([counts / max(1, len(grams)), wcounts / max(1, len(words)), [again]]).astype(np.float32)
+    return idx.astype(np.int32), np.concatenate([counts / max(1, len(grams)), wcounts / max(1, len(words)), [again]]).astype(np.float16)
 
 
 @dataclass
@@ -79,7 +79,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], dim: int = 8, epo
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(docs)):
-            idx, share = docs[i]
+            idx, share = docs[i][0], docs[i][1].astype(np.float32)
             hidden = share @ vectors[idx]
             z = hidden @ weights + bias
             p = np.exp(z - z.max())
