@@ -165,4 +165,4 @@ def test_entry_points():
     import __spark_entry__ as entry
 
     queries, oracles = entry.queries(), entry.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) >= 60
+    assert set(oracles) <= set(queries) and len(queries) >= 50
