@@ -18,7 +18,7 @@ import tiktoken
 from sylva.llm.common import Memo
 
 #: Chunks, pieces or pairs that a worker remembers, each kind.
-MEMO = 300_000
+MEMO = 800_000
 
 
 @cache
@@ -57,8 +57,9 @@ class Codec:
         self.piece_ids = Memo(self.merge, MEMO // 4)
         self.chunk_counts = Memo(self._count, MEMO)
         # for the prefix programme: bytes that end some token, and which neighbours keep apart
-        self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
-        self.apart = Memo(lambda pair: self.merge(self.tokens[pair[0]] + self.tokens[pair[1]]) == pair, MEMO)
+        self.tails = {t[i:]: -1 for t in self.vocab for i in range(len(t))} | self.vocab
+        self.apart = Memo(lambda pair: self.merge(self.tokens[pair >> 20] + self.tokens[pair & 0xFFFFF]) == (pair >> 20, pair & 0xFFFFF), MEMO // 2)
+        self.piece_counts = Memo(lambda piece: self.prefix_piece(piece.encode())[-1], MEMO // 2)
         self.whole = Memo(lambda t: self.merge(t) == (self.vocab[t],), MEMO // 4)
 
     # ---- encoding
@@ -124,20 +125,18 @@ class Codec:
         neighbour on its left does not merge with it. So last[i] and count[i] follow from smaller i alone.
         """
         last, count = [-1], [0]
-        vocab, tails, apart, whole = self.vocab, self.tails, self.apart, self.whole
+        tail, apart, whole = self.tails.get, self.apart, self.whole
         for i in range(1, len(piece) + 1):
-            j = i - 1
-            longest = max(0, i - self.longest)
-            while j >= longest:
-                end = piece[j:i]
-                if end not in tails:
-                    j = longest - 1
+            for j in range(i - 1, max(0, i - self.longest) - 1, -1):
+                token = tail(piece[j:i])
+                if token is None:
+                    token = -1
                     break
-                token = vocab.get(end)
-                if token is not None and (whole[end] if j == 0 else apart[last[j], token]):
+                if token >= 0 and (apart[last[j] << 20 | token] if j else whole[piece[:i]]):
                     break
-                j -= 1
-            if j < longest:  # no neighbour pair holds: encode this prefix as a whole
+            else:
+                token = -1
+            if token < 0:  # no neighbour pair holds: encode this prefix as a whole
                 ids = self.merge(piece[:i])
                 last.append(ids[-1])
                 count.append(len(ids))
@@ -148,9 +147,13 @@ class Codec:
 
     def _count(self, chunk: str) -> int:
         """The count of the longest prefix of a chunk."""
-        if len(chunk) < 24 and not chunk[1:].isspace():
-            head = self.prefix_piece
-            return sum([head(p.encode())[-1] for p in self.pieces(chunk)])
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha() and len(body) < 64:  # letters, with at most a space before, are one piece
+            return self.piece_counts[chunk]
+        if body[-1:] in (".", ",") and body[:-1].isalpha() and len(body) < 64:
+            return self.piece_counts[chunk[:-1]] + 1
+        if len(chunk) < 64 and not chunk[1:].isspace():
+            return sum(map(self.piece_counts.__getitem__, self.pieces(chunk)))
         counts = self._prefixes(chunk)
         return counts[-1] if counts else 0
 

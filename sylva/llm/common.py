@@ -12,20 +12,23 @@ from pyspark.sql.types import StructType
 
 from sylva.session import ship
 
-#: Rows of an Arrow batch: some texts are very long, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch: some texts are very long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
 
 
 class Memo(dict):
-    """A dict that computes what it lacks; emptied when full, so its memory is bounded."""
+    """A dict that computes what it lacks, in two generations of half the cap: what is used again outlives a full one."""
 
     def __init__(self, fn: Callable[[Any], Any], cap: int):
         super().__init__()
-        self.fn, self.cap = fn, cap
+        self.fn, self.half, self.old = fn, cap // 2, {}
 
     def __missing__(self, key):
-        value = self.fn(key)
-        if len(self) >= self.cap:
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -35,6 +38,7 @@ def prepare(spark: SparkSession) -> None:
     """Ship the package to the workers and bound Arrow batches for long texts."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def held_out(doc_id: Column) -> Column:
