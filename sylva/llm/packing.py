@@ -24,8 +24,8 @@ from sylva.llm.common import map_batches, prepare, texts_of
 LENGTH = 1024
 DIMENSIONS, SIDE_BITS, SALT_BITS = 4, 12, 15
 VECTOR_BITS = 9
-#: Keys sampled for the range bounds, at most about this many.
-SAMPLED = 20_000
+#: Keys sampled for the range bounds: about so many, and so many for each partition.
+SAMPLED, SAMPLED_EACH = 20_000, 40
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -92,9 +92,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def by_curve(docs: DataFrame, partitions: int) -> DataFrame:
     """Columns key, part and those of docs (with `salt`); part counts the range of the key, with bounds from a sample of all rows."""
     n = docs.count()
-    sample = docs.sample(False, min(1.0, SAMPLED / n), 23) if n > SAMPLED else docs
+    size = max(SAMPLED, SAMPLED_EACH * partitions)
+    sample = docs.sample(False, size / n, 23) if n > size else docs
     wanted = [k / partitions for k in range(1, partitions)]
-    bounds = np.unique(np.array(_keyed(sample).approxQuantile("key", wanted, 0.0005) if n and wanted else [], np.int64))
+    bounds = np.unique(np.array(_keyed(sample).approxQuantile("key", wanted, min(0.0005, 0.1 / partitions)) if n and wanted else [], np.int64))
     names = docs.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
