@@ -31,7 +31,7 @@ class Boosted:
         return self.base + sum((t(x) for t in self.trees), np.zeros(len(x)))
 
 
-def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 2.0) -> Boosted:
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32, ridge: float = 8.0) -> Boosted:
     """Second-order boosting; every split maximises the gain over histogram bins, and leaves shrink by `ridge`."""
     p = np.average(y, weights=weight).clip(1e-4, 1 - 1e-4)
     model, z = Boosted(float(np.log(p / (1 - p)))), np.zeros(len(y))
@@ -66,25 +66,31 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = 60, dep
     return model
 
 
+#: Weight of the uncalibrated score beside the steps, so that documents on one step keep their order.
+ORDER = 0.02
+
+
 @dataclass
 class Isotonic:
-    """A non-decreasing step function, linear between the steps' middles."""
+    """A non-decreasing step function; between two steps' values the nearer step holds, so gaps are not filled in."""
 
-    x: np.ndarray
+    edges: np.ndarray
     y: np.ndarray
+    order: float = ORDER
 
     def __call__(self, z: np.ndarray) -> np.ndarray:
-        return np.interp(z, self.x, self.y)
+        steps = self.y[np.searchsorted(self.edges, z, side="right")]
+        return (1 - self.order) * steps + self.order / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def isotonic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Isotonic:
     """Pool adjacent violators; blocks shrink slightly towards one half so that scores stay inside (0, 1)."""
     order = np.lexsort((y, z))
-    blocks: list[list[float]] = []  # weight, weighted y, weighted z
+    blocks: list[list[float]] = []  # weight, weighted y, least z, largest z
     for i in order:
-        blocks.append([weight[i], weight[i] * y[i], weight[i] * z[i]])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+        blocks.append([weight[i], weight[i] * y[i], z[i], z[i]])
+        while len(blocks) > 1 and (blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0] or blocks[-2][3] == blocks[-1][2]):
             last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    w, wy, wz = np.array(blocks).T
-    return Isotonic(wz / w, (wy + 0.5 * weight.min()) / (w + weight.min()))
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
+    w, wy, low, high = np.array(blocks).T
+    return Isotonic((high[:-1] + low[1:]) / 2, (wy + 0.5 * weight.min()) / (w + weight.min()))

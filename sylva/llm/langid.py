@@ -23,7 +23,7 @@ SIZES = (1, 2, 3)
 #: Bound of the training sample, in documents of each language.
 PER_LANGUAGE = 400
 #: Below this score a text is ambiguous.
-AMBIGUOUS = 0.6
+AMBIGUOUS = 0.5
 UNKNOWN = "und"
 
 

@@ -80,7 +80,11 @@ class Lexicon:
 
 
 def learn_lexicon(texts: list[str], y: np.ndarray, least: float = 1.5, most: int = 5000) -> Lexicon:
-    """Units that at least three toxic texts hold and whose smoothed log odds reach `least`; the `most` strongest."""
+    """Units of toxic texts: smoothed log odds of at least `least`, and more support than chance gives any of so many units.
+
+    Support is the log likelihood ratio of a unit's share of toxic texts against the share among all texts. The `most`
+    strongest units stay.
+    """
     found: list[list[np.ndarray]] = [[], []]
     for t, v in zip(texts, y, strict=True):
         words, heads = units(t.encode("utf-8", "replace"))
@@ -92,7 +96,9 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: float = 1.5, most: int
     at = np.minimum(np.searchsorted(clean, toxic), max(0, len(clean) - 1))
     other = np.where(clean[at] == toxic, m[at], 0) if len(clean) else np.zeros(len(toxic))
     odds = np.log((n + 0.5) / (len(found[1]) + 1)) - np.log((other + 0.5) / (len(found[0]) + 1))
-    keep = np.flatnonzero(odds >= least)
+    share, p = len(found[1]) / (len(found[0]) + len(found[1])), n / (n + other)
+    support = n * np.log(p / share) + np.where(other > 0, other * np.log(np.maximum(1 - p, 1e-12) / max(1 - share, 1e-12)), 0)
+    keep = np.flatnonzero((odds >= least) & (support >= 1 + np.log(max(1, len(clean) + len(toxic)))))
     keep = keep[np.argsort(-odds[keep] * np.sqrt(n[keep]), kind="stable")[:most]]
     keep.sort()
     return Lexicon(toxic[keep], odds[keep])
@@ -148,7 +154,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3) ->
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if min(int(y.sum()), len(y) - int(y.sum())) < 4:
         share = n1 / (n0 + n1) if n0 + n1 else 0.0
-        return Model(Lexicon(np.zeros(1, np.uint64), np.zeros(1)), Boosted(0.0), Isotonic(np.zeros(1), np.full(1, share)))
+        return Model(Lexicon(np.zeros(1, np.uint64), np.zeros(1)), Boosted(0.0), Isotonic(np.zeros(0), np.full(1, share), 0.0))
     weight = np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum()))
     weight = weight / weight.mean()
     rng, half = np.random.default_rng(seed), np.zeros(len(y), np.int64)
