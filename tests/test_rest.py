@@ -166,3 +166,13 @@ def test_entry_points():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) >= 50
+
+
+def test_windowed_counts(spark, tmp_path):
+    rows = [(f"2024-01-01 00:0{m}:30", "view" if m % 2 else "click") for m in range(8)]
+    events = spark.createDataFrame(rows, "ts string, kind string").select(F.to_timestamp("ts").alias("ts"), "kind")
+    events.write.parquet(str(tmp_path / "events"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "events"))
+    counted = ingest.windowed_counts(stream, "ts", "kind").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
+    counted.awaitTermination()
+    assert sorted((r.start.minute, r.kind, r.n) for r in spark.table("counted").collect()) == [(0, "click", 3), (0, "view", 2), (5, "click", 1), (5, "view", 2)]
