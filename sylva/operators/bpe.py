@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.text import words
@@ -78,18 +78,87 @@ def distinct_words(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_tokens(word: Column, ids: dict[int, int], end: int, unknown: int) -> Column:
-    """The ids of a word before any merge."""
-    table = F.create_map(*[x for b, i in ids.items() for x in (F.lit(f"{b:02X}"), F.lit(i))]) if ids else F.create_map().cast("map<string,int>")
-    pairs = F.regexp_extract_all(F.hex(F.encode(word, "UTF-8")), F.lit("(..)"), 1)
-    return F.array_append(F.transform(pairs, lambda h: F.coalesce(F.try_element_at(table, h), F.lit(unknown))), F.lit(end))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values and the offsets of a column of lists."""
+    offsets = column.offsets.to_numpy()
+    return np.asarray(column.flatten(), np.int32), offsets - offsets[0]
+
+
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, pa.int32()))
+
+
+def first_tokens(distinct: DataFrame, ids: dict[int, int]) -> DataFrame:
+    """tokens, n for distinct words (word, n): byte ids and the end of the word, before any merge."""
+    ship(distinct.sparkSession)
+    table = np.full(256, len(ids) + 1, np.int32)
+    table[list(ids)] = list(ids.values())
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("word").cast(pa.binary())
+            at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]] if len(column) and at[-1] else np.zeros(0, np.uint8)
+            at = at - at[0]
+            yield pa.RecordBatch.from_arrays([_lists(np.insert(table[raw], at[1:], len(ids)), at + np.arange(len(at))), batch.column("n")], ["tokens", "n"])
+
+    return distinct.mapInArrow(run, "tokens array<int>, n long")
+
+
+def _side_by_side(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Places whose next place belongs to the same word."""
+    inside = np.ones(len(values), bool)
+    ends = offsets[1:] - 1
+    inside[ends[np.diff(offsets) > 0]] = False
+    return inside
 
 
 def pair_counts(tokens: DataFrame) -> DataFrame:
-    """a, b, n: how often two ids stand side by side, by (tokens, n)."""
-    side = F.size("tokens") - 1
-    pairs = F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), side).alias("a"), F.slice("tokens", F.lit(2), side).alias("b")))
-    return tokens.where(F.size("tokens") > 1).select(pairs.alias("p"), "n").select("p.a", "p.b", "n").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """a, b, n: how often two ids stand side by side, by (tokens, n); summed within each batch before the shuffle."""
+    ship(tokens.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            values, offsets = _flat(batch.column("tokens"))
+            at = np.flatnonzero(_side_by_side(values, offsets))
+            weight = np.repeat(np.array(batch.column("n")), np.diff(offsets))[at]
+            pairs, where = np.unique(values[at].astype(np.int64) << 32 | values[at + 1] if len(at) else np.zeros(0, np.int64), return_inverse=True)
+            total = np.zeros(len(pairs), np.int64)
+            np.add.at(total, where, weight)
+            yield pa.RecordBatch.from_arrays([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(total)], ["a", "b", "n"])
+
+    return tokens.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def merge_all(values: np.ndarray, offsets: np.ndarray, a: int, b: int, c: int) -> tuple[np.ndarray, np.ndarray]:
+    """merge() on all words of a batch at once."""
+    if not len(values):
+        return values, offsets
+    inside = _side_by_side(values, offsets)
+    after = np.append(values[1:], -1)
+    at = np.flatnonzero(inside & (values == a) & (after == b))
+    if a == b and len(at):  # in a run of one id every other place merges, from the left
+        start = np.append(True, np.diff(at) != 1)
+        first = at[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
+        at = at[(at - first) % 2 == 0]
+    values = values.copy()
+    values[at] = c
+    keep = np.ones(len(values), bool)
+    keep[at + 1] = False
+    return values[keep], np.append(0, np.cumsum(keep))[offsets]
+
+
+def merged(tokens: DataFrame, rules: list[tuple[int, int, int]]) -> DataFrame:
+    """tokens, n after some merges, in their order."""
+
+    def run(batches):
+        for batch in batches:
+            values, offsets = _flat(batch.column("tokens"))
+            for rule in rules:
+                values, offsets = merge_all(values, offsets, *rule)
+            yield pa.RecordBatch.from_arrays([_lists(values, offsets), batch.column("n")], ["tokens", "n"])
+
+    return tokens.mapInArrow(run, "tokens array<int>, n long")
 
 
 def best_pairs(tokens: DataFrame, most: int) -> list[tuple[int, int]]:
@@ -108,14 +177,6 @@ def best_pairs(tokens: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def merged(tokens: Column, a: int, b: int, c: int) -> Column:
-    def add(acc: Column, x: Column) -> Column:
-        return F.when((x == b) & (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == a), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.lit(c))).otherwise(F.array_append(acc, x))
-
-    both = F.array_contains(tokens, a) & F.array_contains(tokens, b)
-    return F.when(both, F.aggregate(tokens, F.array().cast("array<int>"), add)).otherwise(tokens)
-
-
 def train(docs: DataFrame, size: int) -> Tokenizer:
     """Learn merges until there are `size` tokens, or no pair is left; no merge if the alphabet alone is as large.
 
@@ -123,15 +184,14 @@ def train(docs: DataFrame, size: int) -> Tokenizer:
     """
     alphabet = bytes(r.byte for r in byte_alphabet(docs).orderBy("byte").collect())
     tokens = [bytes([b]) for b in alphabet] + [END.encode(), UNKNOWN.encode()]
-    end = len(alphabet)
-    now = cut(distinct_words(docs).select(first_tokens(F.col("word"), {b: i for i, b in enumerate(alphabet)}, end, end + 1).alias("tokens"), "n"))
+    now = cut(first_tokens(distinct_words(docs), {b: i for i, b in enumerate(alphabet)}))
     rules: list[tuple[int, int, int]] = []
     rounds = 0
     while len(tokens) < size and (pairs := best_pairs(now, min(AT_ONCE, size - len(tokens)))):
         for a, b in pairs:
             rules.append((a, b, len(tokens)))
             tokens.append(tokens[a] + tokens[b])
-            now = now.withColumn("tokens", merged(F.col("tokens"), *rules[-1]))
+        now = merged(now, rules[-len(pairs) :])
         rounds += 1
         if rounds % CUT_EVERY == 0:
             now = cut(now)

@@ -275,7 +275,7 @@ def byte_alphabet(spark, d):
 def bpe_best_pair(spark, d):
     docs = corpus(spark, d)
     ids = {r.byte: r.id for r in bpe.byte_alphabet(docs).collect()}
-    start = bpe.distinct_words(docs).select(bpe.first_tokens(F.col("word"), ids, len(ids), len(ids) + 1).alias("tokens"), "n")
+    start = bpe.first_tokens(bpe.distinct_words(docs), ids)
     return bpe.pair_counts(start).orderBy(F.desc("n"), "b", "a").limit(1).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "n")
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sylva.functions import text
@@ -80,6 +81,15 @@ def test_bpe_matches_merging_one_pair_at_a_time(spark):
     assert len(bpe.train(docs(spark, "ab"), 99).rules) == 2
 
 
+def test_merges_of_a_batch():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [[rng.randrange(3) for _ in range(rng.randint(0, 9))] for _ in range(6)]
+        a, b = rng.randrange(3), rng.randrange(3)
+        values, offsets = bpe.merge_all(np.array([x for w in words for x in w], np.int32), np.cumsum([0, *map(len, words)]), a, b, 7)
+        assert [values[i:j].tolist() for i, j in zip(offsets, offsets[1:], strict=False)] == [bpe.merge(w, a, b, 7) for w in words]
+
+
 def test_stats_and_ids(spark):
     row = text.corpus_stats(docs(spark, "a b", "c d e f")).first()
     assert (row.texts, row.mean_words, row.sd_words) == (2, 3.0, 1.0)
