@@ -10,10 +10,12 @@ an edit weighs about as much as the text around it even inside a group of copies
 shingles' own frequencies would leave only the edits to compare. Word frequencies are counted over all documents in a
 table of fixed size, so what each executor holds does not grow with the data.
 
-Equal texts are one class from the start. Within a bucket every member is compared with the smallest one. What remains
-apart after that is compared across the remaining components, in blocks of bounded size whose tasks return the links they
-verify and no pairs; so no candidate pair is lost, and what is sent grows with a bucket's size, not with its square, but
-for a factor of its stragglers over BLOCK.
+Equal texts are one class from the start. Within a bucket every member is first compared with the smallest one, where
+their samples make a link likely. What remains apart after that is compared across the remaining components, likely or
+not, in blocks of bounded size whose tasks return the links they verify and no pairs; so no candidate pair is lost, and
+what is sent grows with a bucket's size, not with its square, but for a factor of its stragglers over BLOCK. Only exact
+upper bounds of the similarity spare a comparison: the ratio of the weights, and the overlap of the sets folded into
+FOLDS cells.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 14 = 0.0006; of 0.85, with 0.00003.
 BANDS, ROWS = 14, 4
-#: Candidates whose samples agree less often are not verified: 3.7 standard deviations below 0.8.
+#: Pairs whose samples agree less often wait for the stragglers; none is dropped for it.
 LIKELY = 0.6
+#: Cells of a folded set.
+FOLDS = 256
 FREQUENCY_BITS, CHUNK = 20, 1024
 #: Up to so many ids (8 MB) the ids of candidate texts are broadcast; beyond, joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -76,6 +80,17 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum(dtype=float)) + float(b[1].sum(dtype=float)) - both)
 
 
+def folded(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The weights of a set added up in FOLDS cells by the shingles' hashes."""
+    return np.bincount((h % np.uint64(FOLDS)).astype(np.int64), w, FOLDS).astype(np.float32)
+
+
+def may_reach(folds: np.ndarray, weight: np.ndarray, x: int, others: np.ndarray) -> np.ndarray:
+    """Whether sets may be similar enough to set x: no two sets share more than the minima of their cells add up to."""
+    both = np.minimum(folds[others], folds[x]).sum(1) * (1 + 1e-4)  # single precision
+    return both >= SIMILARITY * (weight[others] + weight[x] - both)
+
+
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Quantiles of Gamma(2, 1), their logarithms, and multipliers, one for each sample."""
@@ -235,7 +250,7 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
 
     The members of a bucket's largest component meet the others, and the others one another; a pair that shares several
     buckets is compared in the first. Within a task likelier pairs come first, and components that a link joins are one
-    from then on.
+    from then on. Every other pair is verified unless an exact bound rules it out.
     """
     placed = banded.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
@@ -272,8 +287,25 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
             close = np.minimum(weight[own], weight[x]) >= (SIMILARITY - 1e-6) * np.maximum(weight[own], weight[x])
             same = bands[own] == bands[x]
             first = bands[x][same.argmax(1)] == key
-            keep = np.flatnonzero((agree >= LIKELY) & close & first & (group[own] != group[x]))
-            pairs += [(-float(agree[k]), int(x), int(own[k])) for k in keep]
+            keep = np.flatnonzero(close & first & (group[own] != group[x]))
+            pairs.append((np.full(len(keep), x), own[keep], agree[keep]))
+        xs, ys, agrees = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
+        folds = np.zeros((len(rep), FOLDS), np.float32)
+        text = table.column("text")
+
+        def shingled(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in sets:
+                sets[k] = shingles(word_hashes(text[k].as_py() or ""), idf.value)
+            return sets[k]
+
+        for k in np.unique(np.concatenate([xs, ys])).tolist():
+            folds[k] = folded(*shingled(k))
+        may = np.zeros(len(xs), bool)
+        for x in np.unique(xs).tolist():
+            at_x = np.flatnonzero(xs == x)
+            may[at_x] = may_reach(folds, weight, x, ys[at_x])
+        order = np.flatnonzero(may)
+        order = order[np.lexsort((ys[order], xs[order], -agrees[order]))]
         root = {g: g for g in group.tolist()}
 
         def top(g: int) -> int:
@@ -282,15 +314,11 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
                 g = root[g]
             return g
 
-        text = table.column("text")
-        for _, x, y in sorted(pairs):
+        for x, y in zip(xs[order].tolist(), ys[order].tolist(), strict=True):
             gx, gy = top(int(group[x])), top(int(group[y]))
             if gx == gy:
                 continue
-            for k in (x, y):
-                if k not in sets:
-                    sets[k] = shingles(word_hashes(text[k].as_py() or ""), idf.value)
-            if similarity(sets[x], sets[y]) >= SIMILARITY:
+            if similarity(shingled(x), shingled(y)) >= SIMILARITY:
                 found_a.append(int(rep[x])), found_b.append(int(rep[y]))
                 root[max(gx, gy)] = min(gx, gy)
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})

@@ -79,3 +79,24 @@ def test_components(spark):
     got = graph.components(spark.createDataFrame(links, "a long, b long"))
     assert {r.node: r.component for r in got.collect()} == want
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pair_whose_samples_seldom_agree(spark):
+    rng = random.Random(15832)
+    words = ["w%d" % rng.randrange(10**6) for _ in range(101)]
+    edited = words[:30] + ["x"] + words[31:70] + ["y"] + words[71:]
+    rows = [(1, " ".join(words)), (2, " ".join(edited))]
+    assert brute(rows) == {1: 1, 2: 1}
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.cluster_id for r in got} == {1: 1, 2: 1}
+
+
+def test_folded_bound_never_below_similarity():
+    idf, rng = np.full(1 << minhash.FREQUENCY_BITS, 1.5, np.float32), random.Random(2)
+    for n in (5, 30, 300, 3000):
+        words = [rng.choice(WORDS) for _ in range(n)]
+        for rate in (0, 0.01, 0.03, 0.04, 0.5):
+            sets = [minhash.shingles(minhash.word_hashes(" ".join(w if rng.random() >= p else "zz" for w in words)), idf) for p in (0, rate)]
+            weight = np.array([w.sum(dtype=float) for _, w in sets])
+            may = minhash.may_reach(np.stack([minhash.folded(*s) for s in sets]), weight, 0, np.array([1]))[0]
+            assert may or minhash.similarity(*sets) < 0.8
