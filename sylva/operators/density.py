@@ -176,18 +176,21 @@ class Layers:
     stats: list[tuple[int, int, float, int]]
 
 
-def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int = 64) -> Layers:
+def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int | None = None, largest: float = np.inf) -> Layers:
     """Layers of a growing radius; `nb_at(radius)` gives neighbours up to a radius.
 
-    While the first radius gives one cluster it is halved, at most 20 times. Then the radius grows until one cluster is
-    left, or for max_steps; a run is a layer if it has fewer clusters than the layer before. Layer 0 is the densest.
-    Radii are clustered several at once over one table of neighbours.
+    While the first radius gives one cluster it is halved, at most 20 times. Then the radius grows until at most one
+    cluster is left, or until it has reached `largest`, beyond which no distance lies; a run is a layer if it has fewer
+    clusters than the layer before. Layer 0 is the densest. If max_steps radii do not get there, or the radius cannot grow
+    further, that is an error. Distances that may be NaN need `largest` (2 for cosine and Yule), as clusters may then stay
+    apart for good. Radii are clustered several at once over one table of neighbours.
     """
+    if float(np.float32(step)) <= 0:
+        raise ValueError("the radius has to grow")
     for halved in range(21):
-        members, stats, least, done = None, [], None, 0
-        every = radii(start, step, max_steps)
-        while done < max_steps:
-            batch = every[done : done + STEPS_AT_ONCE]
+        members, stats, least, done, after = None, [], None, 0, start
+        while True:
+            *batch, after = radii(after, step, 1 + (STEPS_AT_ONCE if max_steps is None else min(STEPS_AT_ONCE, max_steps - done)))
             found = cut(dbscan_many(nb_at(batch[-1]), batch, minpts))
             counts = {r.step: r.n for r in found.groupBy("step").agg(F.countDistinct("cluster").alias("n")).collect()}
             if not done and counts.get(0, 0) == 1:
@@ -202,8 +205,10 @@ def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int =
                 if n <= 1:
                     break
             done += len(batch)
-            if least <= 1:
+            if least <= 1 or batch[-1] >= largest:
                 break
+            if done == max_steps or after <= batch[-1]:
+                raise ValueError(f"{least} clusters are left at radius {batch[-1]}, after {done} steps")
         if members is not None:
             break
         start = float(np.float32(start) / 2)

@@ -60,7 +60,7 @@ def asked(rows: DataFrame) -> DataFrame:
 
 def layers(spark: SparkSession, d: str) -> density.Layers:
     rows = plane(spark, d)
-    return density.adaptive(lambda r: density.neighbours_on_grid(rows, r), START, STEP, MINPTS, STEPS)
+    return density.adaptive(lambda r: density.neighbours_on_grid(rows, r), START, STEP, MINPTS)
 
 
 # ---- oracle fragments

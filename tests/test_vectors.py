@@ -130,6 +130,20 @@ def test_halving_and_no_clusters(spark):
     assert [s[3] for s in found.stats] == [0] and found.members.count() == 0
 
 
+def test_layers_go_on_until_one_cluster_is_left(spark, monkeypatch):
+    from sylva.plans import registry
+
+    line = [0.001 * i for i in range(8)]
+    df = rows(spark, np.array([[a, 0.0] for a in line] + [[0.15 + a, 0.0] for a in line]))  # joined at 0.143, after 25 radii
+    monkeypatch.setattr(registry, "plane", lambda *_: df)
+    found = registry.layers(spark, "")
+    assert [s[3] for s in found.stats] == [2, 1] and found.stats[1][2] == pytest.approx(0.145)
+    grid = lambda r: density.neighbours_on_grid(df, r)
+    with pytest.raises(ValueError, match="2 clusters are left"):
+        density.adaptive(grid, 0.02, 0.005, 5, 3)
+    assert [s[3] for s in density.adaptive(grid, 0.02, 0.005, 5, largest=0.05).stats] == [2]
+
+
 def test_pca(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(51, 5)) @ rng.normal(size=(5, 5)) + 3
