@@ -86,15 +86,22 @@ def is_sane(v: Column) -> Column:
 
 
 def block(metric: str, a: np.ndarray, b: np.ndarray, n: int | None = None) -> np.ndarray:
-    """All distances between the rows of a and of b. For yule the rows are 0 and 1, and n counts bits (default: the width)."""
+    """All distances between the rows of a and of b.
+
+    For yule the rows are 0 and 1, and n counts bits (default: the width); yule_simd compares the leading bits alone that
+    a kernel of whole 256-bit blocks covers, and counts the rest as unset in both.
+    """
     with np.errstate(invalid="ignore", divide="ignore"):
         if metric == "cosine":
             return 1 - (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :])
         if metric == "l2":
             return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(2)) if a.shape[1] <= 8 else np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0))
-        if metric == "yule":
+        if metric in ("yule", "yule_simd"):
+            n = n or a.shape[1]
+            if metric == "yule_simd":
+                a, b = a[:, : simd_bits(n)], b[:, : simd_bits(n)]
             both = a @ b.T
             only_a, only_b = a.sum(1)[:, None] - both, b.sum(1)[None, :] - both
             cross = only_a * only_b
-            return 2 * cross / (both * ((n or a.shape[1]) - both - only_a - only_b) + cross)
+            return 2 * cross / (both * (n - both - only_a - only_b) + cross)
     raise ValueError(f"unknown metric {metric}")

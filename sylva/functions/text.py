@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import ship
+from sylva.session import numbered, ship
 
 
 def words(text: Column) -> Column:
@@ -59,7 +59,8 @@ def slices_of(data: bytes, size: int, drop_last_byte: bool = True) -> list[bytes
 def slices(docs: DataFrame, size: int, overlap: bool = False, drop_last_byte: bool = True) -> DataFrame:
     """row_id, pos, start, bytes, slice; with overlap, the slices of the text after its first size / 2 bytes follow.
 
-    An overlap of more bytes than the text has is an error, as is a size below one. Null text is one empty slice.
+    A text of less than size / 2 bytes has nothing after them: its plain slice stands alone. A size below one is an error.
+    Null text is one empty slice.
     """
     ship(docs.sparkSession)
 
@@ -68,10 +69,8 @@ def slices(docs: DataFrame, size: int, overlap: bool = False, drop_last_byte: bo
             ids, pos, start, out = [], [], [], []
             for row, text in zip(batch.column("row_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "replace")
-                if overlap and size // 2 > len(data):
-                    raise ValueError(f"row {row} is shorter than half a slice")
                 first = len(pos)
-                for begin in (0, size // 2) if overlap else (0,):
+                for begin in (0, size // 2) if overlap and size // 2 <= len(data) else (0,):
                     for s in slices_of(data[begin:], size, drop_last_byte):
                         ids.append(row)
                         pos.append(len(pos) - first)
@@ -92,5 +91,4 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 def dense_ids(values: DataFrame, column: str) -> DataFrame:
     """column, id: distinct values numbered by their first row_id, from 0."""
-    first = values.groupBy(column).agg(F.min("row_id").alias("first"))
-    return first.select(column, (F.row_number().over(Window.orderBy("first")) - 1).alias("id"), "first")
+    return numbered(values.groupBy(column).agg(F.min("row_id").alias("first")), ["first"], "id").select(column, "id", "first")

@@ -5,6 +5,7 @@ Ids: the corpus' bytes in ascending order, then the end of a word, then the unkn
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,10 @@ from sylva.session import cut, ship
 END, UNKNOWN = "</w>", "<unk>"
 #: Merges tried at once, and rounds between two cuts of the lineage.
 AT_ONCE, CUT_EVERY = 16, 3
+#: Up to so many letters of distinct words (256 MB with their places) one task learns all merges; beyond, all tasks do.
+TASK_TOKENS = 1 << 25
+#: Up to so many possible pairs are counted in a table.
+DENSE = 1 << 22
 
 
 @dataclass
@@ -130,6 +135,15 @@ def pair_counts(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
+def _starts(at: np.ndarray, same: bool) -> np.ndarray:
+    """Where merges begin: in a run of one id every other place merges, from the left."""
+    if not same or not len(at):
+        return at
+    start = np.append(True, np.diff(at) != 1)
+    first = at[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
+    return at[(at - first) % 2 == 0]
+
+
 def merge_all(values: np.ndarray, offsets: np.ndarray, a: int, b: int, c: int) -> tuple[np.ndarray, np.ndarray]:
     """merge() on all words of a batch at once."""
     if not len(values):
@@ -137,10 +151,7 @@ def merge_all(values: np.ndarray, offsets: np.ndarray, a: int, b: int, c: int) -
     inside = _side_by_side(values, offsets)
     after = np.append(values[1:], -1)
     at = np.flatnonzero(inside & (values == a) & (after == b))
-    if a == b and len(at):  # in a run of one id every other place merges, from the left
-        start = np.append(True, np.diff(at) != 1)
-        first = at[np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))]
-        at = at[(at - first) % 2 == 0]
+    at = _starts(at, a == b)
     values = values.copy()
     values[at] = c
     keep = np.ones(len(values), bool)
@@ -177,25 +188,112 @@ def best_pairs(tokens: DataFrame, most: int) -> list[tuple[int, int]]:
     return out
 
 
-def train(docs: DataFrame, size: int) -> Tokenizer:
-    """Learn merges until there are `size` tokens, or no pair is left; no merge if the alphabet alone is as large.
+def _pair_places(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The distinct places among at whose next place is in the same word."""
+    at = np.sort(at, kind="stable")
+    at = at[np.append(True, at[1:] != at[:-1])[: len(at)]]
+    at = at[(at >= 0) & (at < len(word) - 1)]
+    return at[word[at] == word[at + 1]]
+
 
-    One aggregation for every few merges over the distinct words, which stay distributed; only winning pairs come back.
+def learn(values: np.ndarray, offsets: np.ndarray, weight: np.ndarray, first: int, most: int) -> list[tuple[int, int, int]]:
+    """The next merges, at most so many, of words that fit in one task; new ids count from `first`.
+
+    All pairs are counted once. After that a merge changes the counts of the pairs it touches alone, and a heap holds each
+    count that was ever reached; those that have changed since are passed over.
+    """
+    word = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
+    values, weight = values.astype(np.int32), weight.astype(np.int64)
+    counts: dict[tuple[int, int], int] = {}
+    heap: list[tuple[int, int, int]] = []
+
+    width = first + most
+
+    def change(at: np.ndarray, sign: int, into: dict) -> None:
+        codes = values[at].astype(np.int64) * width + values[at + 1]
+        if width * width <= DENSE:
+            total = np.bincount(codes, weight[word[at]])
+            codes = np.flatnonzero(total)
+            total = total[codes]
+        else:
+            codes, where = np.unique(codes, return_inverse=True)
+            total = np.bincount(where, weight[word[at]], len(codes))
+        for code, n in zip(codes.tolist(), total.astype(np.int64).tolist(), strict=True):
+            pair = divmod(code, width)
+            into[pair] = into.get(pair, 0) + sign * n
+
+    change(_pair_places(word, np.arange(len(word) - 1)), 1, counts)
+    heap = [(-n, b, a) for (a, b), n in counts.items()]
+    heapq.heapify(heap)
+    rules: list[tuple[int, int, int]] = []
+    while heap and len(rules) < most:
+        n, b, a = heapq.heappop(heap)
+        if counts.get((a, b), 0) != -n or not n:
+            continue
+        c = first + len(rules)
+        rules.append((a, b, c))
+        at = np.flatnonzero(values[:-1] == a)
+        at = _starts(at[(values[at + 1] == b) & (word[at + 1] == word[at])], a == b)
+        changed: dict[tuple[int, int], int] = {}
+        change(_pair_places(word, np.concatenate([at - 1, at, at + 1])), -1, changed)
+        values[at] = c
+        keep = np.ones(len(values), bool)
+        keep[at + 1] = False
+        values, word, at = values[keep], word[keep], at - np.arange(len(at))
+        change(_pair_places(word, np.concatenate([at - 1, at])), 1, changed)
+        for pair, more in changed.items():
+            if more:
+                counts[pair] = now = counts.get(pair, 0) + more
+                if now:
+                    heapq.heappush(heap, (-now, pair[1], pair[0]))
+    return rules
+
+
+def train(docs: DataFrame, size: int | None = None, merges: int | None = None, task_tokens: int = TASK_TOKENS) -> Tokenizer:
+    """Learn merges until there are `size` tokens, or so many merges, or no pair is left.
+
+    If the alphabet alone is as large as `size` there is no merge. Where the distinct words have at most task_tokens
+    letters, one task learns all merges from them; beyond, the words stay distributed, with one aggregation for every few
+    merges, and only winning pairs come back. Both ways learn the same.
     """
     alphabet = bytes(r.byte for r in byte_alphabet(docs).orderBy("byte").collect())
     tokens = [bytes([b]) for b in alphabet] + [END.encode(), UNKNOWN.encode()]
+    most = merges if size is None else max(0, size - len(tokens)) if merges is None else max(0, min(merges, size - len(tokens)))
+    if most is None:
+        raise ValueError("give a size or a number of merges")
     now = cut(first_tokens(distinct_words(docs), {b: i for i, b in enumerate(alphabet)}))
+    if (now.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= task_tokens:
+        rules = _learned(now, len(tokens), most)
+    else:
+        rules = _learned_in_rounds(now, len(tokens), most)
+    for a, b, _ in rules:
+        tokens.append(tokens[a] + tokens[b])
+    return Tokenizer(alphabet, tokens, rules)
+
+
+def _learned(tokens: DataFrame, first: int, most: int) -> list[tuple[int, int, int]]:
+    def run(batches):
+        lists, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        lengths = [np.zeros(0, np.int64)]
+        for batch in batches:
+            values, offsets = _flat(batch.column("tokens"))
+            lists.append(values), lengths.append(np.diff(offsets)), counts.append(np.array(batch.column("n")))
+        rules = learn(np.concatenate(lists), np.append(0, np.cumsum(np.concatenate(lengths))), np.concatenate(counts), first, most)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rules], pa.int32()) for k in range(3)], ["a", "b", "c"])
+
+    return [tuple(r) for r in tokens.coalesce(1).mapInArrow(run, "a int, b int, c int").orderBy("c").collect()]
+
+
+def _learned_in_rounds(now: DataFrame, first: int, most: int) -> list[tuple[int, int, int]]:
     rules: list[tuple[int, int, int]] = []
     rounds = 0
-    while len(tokens) < size and (pairs := best_pairs(now, min(AT_ONCE, size - len(tokens)))):
-        for a, b in pairs:
-            rules.append((a, b, len(tokens)))
-            tokens.append(tokens[a] + tokens[b])
+    while len(rules) < most and (pairs := best_pairs(now, min(AT_ONCE, most - len(rules)))):
+        rules += [(a, b, first + len(rules) + k) for k, (a, b) in enumerate(pairs)]
         now = merged(now, rules[-len(pairs) :])
         rounds += 1
         if rounds % CUT_EVERY == 0:
             now = cut(now)
-    return Tokenizer(alphabet, tokens, rules)
+    return rules
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:

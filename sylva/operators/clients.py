@@ -80,11 +80,13 @@ def embed(docs: DataFrame, embedder: Callable[[str], list[float] | None]) -> Dat
     return docs.select(F.col("row_id").cast("long"), "text").mapInArrow(run, "row_id long, text string, vector array<double>, retries int")
 
 
-def server_completer(host: str, port: int, n_tokens: int) -> Callable[[str], str]:
-    """Completes one prompt by a streamed POST /completion."""
+def server_completer(host: str, port: int, n_tokens: int, stream: bool = True) -> Callable[[str], str]:
+    """Completes one prompt by a POST /completion, streamed or in one piece."""
 
     def complete(prompt: str) -> str:
-        raw = post(f"http://{host}:{port}/completion", {"prompt": prompt, "n_predict": n_tokens, "stream": True})
+        raw = post(f"http://{host}:{port}/completion", {"prompt": prompt, "n_predict": n_tokens, "stream": stream})
+        if not stream:
+            return json.loads(raw).get("content", "")
         events = (json.loads(line[5:]) for line in raw.decode().splitlines() if line.startswith("data:"))
         return "".join(e.get("content", "") for e in events)
 

@@ -20,10 +20,8 @@ from sylva.operators.graph import components
 from sylva.operators.knn import pairwise
 from sylva.session import cut, ship
 
-#: Row ids are below this, so that (step, row) fits one long.
-ROW_BITS = 44
-#: Radii that are clustered in one go.
-STEPS_AT_ONCE = 8
+#: Radii that are clustered in one go, and batches of them that share one table of neighbours.
+STEPS_AT_ONCE, BATCHES_AHEAD = 8, 2
 #: Up to so many neighbour pairs (32 MB) one task labels all points of a radius; beyond, joins do.
 TASK_PAIRS = 2_000_000
 
@@ -111,52 +109,49 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def dbscan_many(nb: DataFrame, radii: list[float], minpts: int, task_pairs: int = TASK_PAIRS) -> DataFrame:
-    """step, row_id, label, cluster for each radius in turn; noise is absent.
+    """step, row_id, label, cluster for each radius in turn; noise is absent. Row ids are any longs.
 
     Where there are few pairs, one task labels each radius. Else seeds that touch are one component, found by
     logarithmically many joins for all radii at once; then labels pass between components and semi-core points until
-    nothing changes.
+    nothing changes. Both ways give the same rows. The neighbours are read several times, so cut or cache them.
     """
     spark = nb.sparkSession
-    nb = cut(nb.select("i", "j", "distance"))
-    if nb.count() <= task_pairs:
+    radii = [float(np.float32(r)) for r in radii]
+    steps = spark.createDataFrame(list(enumerate(radii)), "step long, radius double")
+    near = nb.select("i", "j", "distance").where(F.col("distance") <= max(radii))
+    edges = near.join(F.broadcast(steps), F.col("distance") <= F.col("radius")).select("step", "i", "j")
+    if task_pairs and near.count() <= task_pairs:
         ship(spark)
-        steps = spark.createDataFrame([(k, float(np.float32(r))) for k, r in enumerate(radii)], "step long, radius double")
-        edges = nb.join(F.broadcast(steps), F.col("distance") <= F.col("radius")).select("step", "i", "j")
         return _numbered(edges.groupBy("step").applyInArrow(_label(minpts), "step long, row_id long, label long"))
-    steps = spark.createDataFrame([(k, float(np.float32(r))) for k, r in enumerate(radii)], "step long, radius double")
-    edges = nb.join(F.broadcast(steps), F.col("distance") <= F.col("radius")).select("step", "i", "j")
-    degree = edges.groupBy("step", "i").agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") >= minpts)
-    core = cut(degree.select(F.shiftleft("step", ROW_BITS).bitwiseOR(F.col("i")).alias("v"), (F.col("degree") > minpts).alias("seed")))
-    key = lambda c: F.shiftleft("step", ROW_BITS).bitwiseOR(F.col(c))
-    links = cut(edges.select(key("i").alias("u"), key("j").alias("v")).join(core.select(F.col("v").alias("u"), F.col("seed").alias("u_seed")), "u"))
-    between = links.join(core.select("v", F.col("seed").alias("v_seed")), "v")
-    grown = components(between.where("u_seed and v_seed").select(F.col("u").alias("a"), F.col("v").alias("b")))
-    home = cut(core.where("seed").select("v").join(grown, F.col("v") == F.col("node"), "left").select("v", F.coalesce("component", "v").alias("home")))
+    degree = edges.groupBy("step", F.col("i").alias("v")).agg(F.count(F.lit(1)).alias("degree")).where(F.col("degree") >= minpts)
+    core = cut(degree.select("step", "v", (F.col("degree") > minpts).alias("seed")))
+    links = cut(edges.select("step", F.col("i").alias("u"), F.col("j").alias("v")).join(core.select("step", F.col("v").alias("u"), F.col("seed").alias("u_seed")), ["step", "u"]))
+    between = links.join(core.select("step", "v", F.col("seed").alias("v_seed")), ["step", "v"])
+    grown = components(between.where("u_seed and v_seed").select("step", F.col("u").alias("a"), F.col("v").alias("b")), ("step",))
+    grown = grown.withColumnRenamed("node", "v")
+    home = cut(core.where("seed").select("step", "v").join(grown, ["step", "v"], "left").select("step", "v", F.coalesce("component", "v").alias("home")))
     # components and semi-core points; an edge carries a label from u to v
     semi = between.where("not (u_seed and v_seed) and u <> v")
-    node = lambda c, flag: F.coalesce(F.when(F.col(flag), F.col(f"{c}_home")), F.col(c))
-    thin = semi.join(home.select(F.col("v").alias("u"), F.col("home").alias("u_home")), "u", "left").join(home.select("v", F.col("home").alias("v_home")), "v", "left")
-    thin = cut(thin.select(node("u", "u_seed").alias("u"), node("v", "v_seed").alias("v"), "v_seed").distinct())
-    labels = cut(home.select(F.col("home").alias("v"), F.col("home").alias("label")).distinct())
+    node = lambda c: F.when(F.col(f"{c}_seed"), F.col(f"{c}_home")).otherwise(F.col(c))
+    thin = semi.join(home.select("step", F.col("v").alias("u"), F.col("home").alias("u_home")), ["step", "u"], "left").join(home.select("step", "v", F.col("home").alias("v_home")), ["step", "v"], "left")
+    thin = cut(thin.select("step", node("u").alias("u"), node("v").alias("v"), "v_seed").distinct())
+    labels = cut(home.select("step", F.col("home").alias("v"), F.col("home").alias("label")).distinct())
     while not thin.isEmpty():
-        passed = thin.join(labels.withColumnRenamed("v", "u"), "u").where("v_seed or label < v").groupBy("v").agg(F.min("label").alias("got"))
-        after = cut(labels.join(passed, "v", "full").select("v", F.least("label", "got").alias("label")))
-        changed = after.exceptAll(labels).isEmpty()
+        passed = thin.join(labels.withColumnRenamed("v", "u"), ["step", "u"]).where("v_seed or label < v").groupBy("step", "v").agg(F.min("label").alias("got"))
+        after = cut(labels.join(passed, ["step", "v"], "full").select("step", "v", F.least("label", "got").alias("label")))
+        settled = after.exceptAll(labels).isEmpty()
         labels = after
-        if changed:
+        if settled:
             break
-    seeded = home.join(labels.withColumnRenamed("v", "home"), "home").select("v", "label")
-    inner = seeded.unionByName(labels.join(core.where("not seed").select("v"), "v", "left_semi"))
-    reached = links.join(inner.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("label").alias("label")).join(inner.select("v"), "v", "left_anti")
-    mask = F.lit((1 << ROW_BITS) - 1)
-    rows = inner.unionByName(reached).select(F.shiftright("v", ROW_BITS).alias("step"), F.col("v").bitwiseAND(mask).alias("row_id"), F.col("label").bitwiseAND(mask).alias("label"))
-    return _numbered(rows)
+    seeded = home.join(labels.withColumnRenamed("v", "home"), ["step", "home"]).select("step", "v", "label")
+    inner = seeded.unionByName(labels.join(core.where("not seed").select("step", "v"), ["step", "v"], "left_semi"))
+    reached = links.join(inner.withColumnRenamed("v", "u"), ["step", "u"]).groupBy("step", "v").agg(F.min("label").alias("label")).join(inner.select("step", "v"), ["step", "v"], "left_anti")
+    return _numbered(inner.unionByName(reached).withColumnRenamed("v", "row_id"))
 
 
-def dbscan(nb: DataFrame, radius: float = 0.015, minpts: int = 5) -> DataFrame:
+def dbscan(nb: DataFrame, radius: float = 0.015, minpts: int = 5, task_pairs: int = TASK_PAIRS) -> DataFrame:
     """row_id, label, cluster at one radius; noise is absent."""
-    return dbscan_many(nb, [radius], minpts).drop("step")
+    return dbscan_many(cut(nb), [radius], minpts, task_pairs).drop("step")
 
 
 def radii(start: float, step: float, n: int) -> list[float]:
@@ -176,22 +171,26 @@ class Layers:
     stats: list[tuple[int, int, float, int]]
 
 
-def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int | None = None, largest: float = np.inf) -> Layers:
+def adaptive(nb_at, start: float, step: float, minpts: int = 5, max_steps: int | None = None, largest: float = np.inf, task_pairs: int = TASK_PAIRS) -> Layers:
     """Layers of a growing radius; `nb_at(radius)` gives neighbours up to a radius.
 
     While the first radius gives one cluster it is halved, at most 20 times. Then the radius grows until at most one
     cluster is left, or until it has reached `largest`, beyond which no distance lies; a run is a layer if it has fewer
     clusters than the layer before. Layer 0 is the densest. If max_steps radii do not get there, or the radius cannot grow
     further, that is an error. Distances that may be NaN need `largest` (2 for cosine and Yule), as clusters may then stay
-    apart for good. Radii are clustered several at once over one table of neighbours.
+    apart for good. Radii are clustered several at once, and the neighbours of one table serve several such batches.
     """
     if float(np.float32(step)) <= 0:
         raise ValueError("the radius has to grow")
-    for halved in range(21):
+    near, reach = None, -np.inf
+    for _ in range(21):
         members, stats, least, done, after = None, [], None, 0, start
         while True:
             *batch, after = radii(after, step, 1 + (STEPS_AT_ONCE if max_steps is None else min(STEPS_AT_ONCE, max_steps - done)))
-            found = cut(dbscan_many(nb_at(batch[-1]), batch, minpts))
+            if batch[-1] > reach:
+                reach = radii(batch[-1], step, 1 + (BATCHES_AHEAD - 1) * STEPS_AT_ONCE)[-1]
+                near = cut(nb_at(reach))
+            found = cut(dbscan_many(near, batch, minpts, task_pairs))
             counts = {r.step: r.n for r in found.groupBy("step").agg(F.countDistinct("cluster").alias("n")).collect()}
             if not done and counts.get(0, 0) == 1:
                 break

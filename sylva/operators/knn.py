@@ -15,13 +15,25 @@ from sylva.session import ship
 
 #: Bytes of query vectors that are sent to every executor at once; more queries go in several rounds.
 QUERY_BYTES = 64 << 20
+#: Rows of the corpus, and distances, that a task looks at in one go.
+ROWS, CELLS = 1024, 1 << 22
+
+
+def _best(query: np.ndarray, dist: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, in order: by distance, NaN last, then by row."""
+    order = np.lexsort((row, np.where(np.isnan(dist), np.inf, dist), np.isnan(dist), query))
+    query, dist, row = query[order], dist[order], row[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))[: len(query)]
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return query[rank < k], dist[rank < k], row[rank < k]
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", bits: int | None = None) -> DataFrame:
     """query_id, row_id, distance, rank (1 to k) for queries and corpus of (row_id, vector).
 
     Ties go to the smaller row_id and NaN comes last. Each task keeps its own k best per query, so what is shuffled is
-    bounded by tasks x queries x k; the queries are stated rows, sent in rounds of bounded size.
+    bounded by tasks x queries x k; the queries are stated rows, sent in rounds of bounded size. A task holds at most CELLS
+    distances, and of these only those no farther than the k-th found so far go on.
     """
     spark = corpus.sparkSession
     ship(spark)
@@ -37,16 +49,26 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", b
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            dist, rows = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            found = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+            limit = np.full(len(ids), np.inf)
             for batch in batches:
-                if not batch.num_rows or not len(ids):
-                    continue
-                own = np.array(batch.column("row_id"))
-                d = distances.block(metric, q, matrix(batch.column("vector"), bits), bits)
-                dist, rows = np.concatenate([dist, d], 1), np.concatenate([rows, np.broadcast_to(own, d.shape)], 1)
-                order = np.lexsort((rows, np.where(np.isnan(dist), np.inf, dist), np.isnan(dist)), axis=1)[:, :k]
-                dist, rows = np.take_along_axis(dist, order, 1), np.take_along_axis(rows, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, rows.shape[1])), pa.array(rows.ravel()), pa.array(dist.ravel())], ["query_id", "row_id", "distance"])
+                for at in range(0, batch.num_rows, ROWS):
+                    own = batch.slice(at, ROWS)
+                    names, x = np.array(own.column("row_id")), matrix(own.column("vector"), bits)
+                    wide, parts = max(1, CELLS // len(names)), [found]
+                    for low in range(0, len(ids), wide):
+                        d = distances.block(metric, q[low : low + wide], x, bits)
+                        rated = np.where(np.isnan(d), np.inf, d)
+                        bound = limit[low : low + wide]
+                        if len(names) > k:
+                            bound = np.minimum(bound, np.partition(rated, k - 1, 1)[:, k - 1])
+                        i, j = np.nonzero(rated <= bound[:, None])
+                        parts.append((i + low, d[i, j], names[j]))
+                    found = _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+                    last = np.flatnonzero(np.append(found[0][1:] != found[0][:-1], True)[: len(found[0])])
+                    full = last[np.diff(np.append(-1, last)) == k]
+                    limit[found[0][full]] = np.where(np.isnan(found[1][full]), np.inf, found[1][full])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[2]), pa.array(found[1])], ["query_id", "row_id", "distance"])
 
         part = corpus.select("row_id", "vector").mapInArrow(run, "query_id long, row_id long, distance double")
         best = part if best is None else best.unionByName(part)

@@ -13,9 +13,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.session import cut
+from sylva.session import cut, numbered
 
 OVERLAP = 0.8
+#: Fixed value: how the files of clusters are named.
+CLUSTER_FILE = r"L(\d+)-C-(\d+)$"
 
 
 def sizes(members: DataFrame) -> DataFrame:
@@ -32,6 +34,13 @@ def intersections(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("row_id", F.col("cluster").alias("cluster_a")).join(b.select("row_id", F.col("cluster").alias("cluster_b")), "row_id").groupBy("cluster_a", "cluster_b").agg(F.count(F.lit(1)).alias("common"))
 
 
+def layer_intersections(members: DataFrame) -> DataFrame:
+    """layer, cluster_a, cluster_b, common for each layer (a) and the next (b)."""
+    a = members.select("row_id", "layer", F.col("cluster").alias("cluster_a"))
+    b = members.select("row_id", (F.col("layer") - 1).alias("layer"), F.col("cluster").alias("cluster_b"))
+    return a.join(b, ["row_id", "layer"]).groupBy("layer", "cluster_a", "cluster_b").agg(F.count(F.lit(1)).alias("common"))
+
+
 def edges(members: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """layer, cluster, child_layer, child, common: clusters of each layer and those of the layer before that they absorb."""
     new, old = members.alias("n"), members.alias("o")
@@ -71,7 +80,7 @@ def node_key(layer: Column, cluster: Column, size: Column) -> Column:
 
 def file_key(name: Column) -> Column:
     """The key of a cluster file named L0014-C-000683, less the size."""
-    part = lambda g: F.regexp_extract(name, r"L(\d+)-C-(\d+)$", g).cast("long").cast("string")
+    part = lambda g: F.regexp_extract(name, CLUSTER_FILE, g).cast("long").cast("string")
     return F.concat(F.lit("L"), part(1), F.lit("C"), part(2))
 
 
@@ -141,13 +150,18 @@ def node_label(name: Column) -> Column:
     return F.when(name.rlike(r"^L\d+C\d+"), F.lit(None).cast("string")).otherwise(F.when(stripped != "", stripped).otherwise(F.regexp_replace(name, "_", " ")))
 
 
+def doc_counts(names: DataFrame, mapped: DataFrame) -> DataFrame:
+    """names (key, ...) with the doc_count and label of a mapping(); a key that is not mapped has 0 documents."""
+    return names.join(mapped.select("key", "doc_count", "label"), "key", "left").withColumn("doc_count", F.coalesce("doc_count", F.lit(0)))
+
+
 def shortened(label: Column, most: int) -> Column:
     return F.when(F.length(label) > most, F.concat(F.substring(label, 1, most), F.lit("..."))).otherwise(label)
 
 
 def every_nth(df: DataFrame, order: str, skip: int) -> DataFrame:
     """Every skip-th row in order, the first included."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_n") % skip == 0).drop("_n")
+    return numbered(df, [order], "_n").where(F.col("_n") % skip == 0).drop("_n")
 
 
 def label_mix(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "sylva", master: str | None = None, **conf: str) -> SparkSession:
@@ -26,21 +28,52 @@ def build_session(app: str = "sylva", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset a fresh local folder serves a local master; on a cluster that is an error, as no other machine sees it.
+    """
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="sylva-shared-")
         sc.setCheckpointDir(path)
     return path
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder in the shared one that nothing else has."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can reach it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with `name`: 0, 1, ... in the order of some columns.
+
+    Ranges of rows are sorted apart, and only their sizes meet in one place; rows that are equal in `order` stand in any
+    order among themselves.
+    """
+    keys = [f"_{k}" for k in range(len(order))]
+    wrapped = df.select(F.struct(*df.columns).alias("row"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    held = cut(wrapped.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.spark_partition_id().alias("part"), place.alias("at")))
+    sizes = held.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("row.*", (F.col("before") + F.col("at")).alias(name))
+
+
 _shipped: set[str] = set()
 
 

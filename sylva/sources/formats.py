@@ -8,13 +8,15 @@ from __future__ import annotations
 import io
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from sylva.operators.bpe import Tokenizer
 from sylva.session import ship
@@ -85,17 +87,34 @@ def read_vectors(f, first: int, last: int, text_at: int) -> Iterator[tuple[int,
         yield k, text, unpack_bits(own, length) if binary else np.frombuffer(own, "<f8").tolist()
 
 
-def text_offsets(f, every: int) -> list[tuple[int, int]]:
-    """(row, offset of its text) for every so many rows, by the lengths alone."""
+def text_offsets(f, every: int, block: int = 1 << 20) -> list[tuple[int, int]]:
+    """(row, offset of its text) for every so many rows, by the lengths alone, read in blocks."""
     binary, n, length = vector_header(f)
-    at, out = 21 + (length // 8 + 1 if binary else 8 * length) * n, []
+    at, out, held, start = 21 + (length // 8 + 1 if binary else 8 * length) * n, [], b"", 0
     for k in range(n):
         if k % every == 0:
             out.append((k, at))
-        at += 8 + struct.unpack("<Q", f.read_at(8, at))[0]
+        if not start <= at <= start + len(held) - 8:
+            held, start = f.read_at(block, at), at
+        at += 8 + struct.unpack_from("<Q", held, at - start)[0]
     return out
 
 
+def vector_bytes(vectors: pa.Array, binary: bool, length: int) -> bytes:
+    """A column of vectors, or of set positions, as the format holds it."""
+    if binary:
+        return b"".join(pack_bits(v, length) for v in vectors.to_pylist())
+    flat = np.asarray(vectors.flatten(), "<f8")
+    if len(flat) != length * len(vectors):
+        raise ValueError("vectors of different lengths")
+    return flat.tobytes()
+
+
+def text_bytes(texts: pa.Array) -> bytes:
+    raw = [(t or "").encode("utf-8", "replace") for t in texts.to_pylist()]
+    return b"".join(struct.pack("<Q", len(r)) + r for r in raw)
+
+
 # ---- cluster layers
 
 
@@ -224,8 +243,11 @@ class _Done(WriterCommitMessage):
     pass
 
 
-class VectorWriter(DataSourceWriter):
-    """One file for each task, part-<task>.vdb; repartition to one for a single file. Rows go by row_id."""
+class VectorWriter(DataSourceArrowWriter):
+    """One file for each task, part-<task>.vdb; repartition to one for a single file. Rows go by row_id.
+
+    The format puts all vectors before all texts, so a task holds its rows, as Arrow data.
+    """
 
     def __init__(self, options):
         self.uri, self.binary = options["path"], options.get("type", "double") == "binary"
@@ -234,10 +256,22 @@ class VectorWriter(DataSourceWriter):
     def write(self, iterator):
         from pyspark import TaskContext
 
-        rows = sorted(((r["row_id"], r["text"], list(r["bits" if self.binary else "vector"])) for r in iterator), key=lambda r: r[0])
+        batches = list(iterator)
+        rows = pa.Table.from_batches(batches).sort_by("row_id") if batches else pa.table({"row_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "bits" if self.binary else "vector": pa.array([], pa.list_(pa.float64()))})
+        vectors = rows.column("bits" if self.binary else "vector")
+        length = self.length
+        if length is None and self.binary:
+            length = 1 + max((int(np.max(np.asarray(c.flatten()), initial=-1)) for c in vectors.chunks), default=-1)
+        elif length is None:
+            length = len(vectors[0]) if len(rows) else 0
         where, path = filesystem(self.uri)
         where.create_dir(path, recursive=True)
-        write_bytes(f"{self.uri}/part-{TaskContext.get().partitionId():05d}.vdb", encode_vectors([r[1:] for r in rows], self.binary, self.length))
+        with where.open_output_stream(f"{path}/part-{TaskContext.get().partitionId():05d}.vdb") as f:
+            f.write(VECTOR_MAGIC + struct.pack("<BQQ", BINARY if self.binary else DOUBLE, len(rows), length))
+            for chunk in vectors.chunks:
+                f.write(vector_bytes(chunk, self.binary, length))
+            for chunk in rows.column("text").chunks:
+                f.write(text_bytes(chunk))
         return _Done()
 
 
@@ -321,22 +355,89 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+# ---- one file for each layer or cluster
+
+
+def _write_files(rows: DataFrame, by: list[str], order: list[str], name, emit) -> None:
+    """One file for each key, in which the key's rows stand in order; they stream through a task and are never held whole.
+
+    `name` makes a path of the key's values; `emit(state, batch)` gives the bytes of some rows, with a dict to keep from
+    one call to the next, empty at a file's beginning. A file gets its name once it is whole, so a task may run again.
+    """
+
+    def run(batches):
+        made, now, out, state = [], None, None, {}
+
+        def close():
+            if out is not None:
+                out.close()
+                where.move(part, path)
+                made.append(name(*now))
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in by), strict=True))
+            ends = [k for k in range(1, len(keys)) if keys[k] != keys[k - 1]] + [len(keys)]
+            for at, end in zip([0, *ends], ends, strict=False):
+                if keys and keys[at] != now:
+                    close()
+                    now, state = keys[at], {}
+                    where, path = filesystem(name(*now))
+                    part = f"{path}.{uuid.uuid4().hex}.part"
+                    out = where.open_output_stream(part)
+                if keys:
+                    out.write(emit(state, batch.slice(at, end - at)))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
+
+    ship(rows.sparkSession)
+    rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, "path string").collect()
+
+
 def write_layers(members: DataFrame, prefix: str) -> None:
     """One binary file for each layer, <prefix>0000 and so on, clusters by number and members by row_id.
 
-    Each layer is one group; a file of the format is one piece, so a layer of more than 2**31 rows has no such file.
+    A number without members is an empty cluster.
     """
+    sizes = members.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    most = members.groupBy("layer").agg((F.max("cluster") + 1).alias("clusters"))
+
+    def emit(state: dict, batch: pa.RecordBatch) -> bytes:
+        cluster, size, row = (np.array(batch.column(c)) for c in ("cluster", "size", "row_id"))
+        out = [] if state else [LAYER_MAGIC, struct.pack("<i", batch.column("clusters")[0].as_py())]
+        starts = np.flatnonzero(np.append(True, cluster[1:] != cluster[:-1]))
+        for at, end in zip(starts, [*starts[1:], len(cluster)], strict=True):
+            before = state.get("cluster", -1)
+            if cluster[at] != before:
+                out += [struct.pack("<ii", 0, k) for k in range(before + 1, cluster[at])] + [struct.pack("<ii", size[at], cluster[at])]
+                state["cluster"] = int(cluster[at])
+            out.append(row[at:end].astype("<i4").tobytes())
+        return b"".join(out)
+
+    rows = members.select("layer", "cluster", "row_id").join(sizes, ["layer", "cluster"]).join(most, "layer")
+    _write_files(rows, ["layer"], ["cluster", "row_id"], lambda layer: f"{prefix}{layer:04d}", emit)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("cluster", "ascending"), ("row_id", "ascending")]).to_pylist()
-        clusters: list[list[int]] = []
-        for r in rows:
-            while len(clusters) <= r["cluster"]:
-                clusters.append([])
-            clusters[r["cluster"]].append(r["row_id"])
-        path = f"{prefix}{rows[0]['layer']:04d}"
-        write_bytes(path, encode_layer(clusters))
-        return pa.table({"path": [path]})
-
-    ship(members.sparkSession)
-    members.select("layer", "cluster", "row_id").groupBy("layer").applyInArrow(run, "path string").collect()
+
+def write_cluster_files(members: DataFrame, prefix: str) -> None:
+    """The row ids of each cluster, one a line, in a file <prefix>L0000-C-000000 by layer and cluster."""
+    emit = lambda state, batch: "".join(f"{r}\n" for r in batch.column("row_id").to_pylist()).encode()
+    _write_files(members.select("layer", "cluster", "row_id"), ["layer", "cluster"], ["row_id"], lambda layer, cluster: f"{prefix}L{layer:04d}-C-{cluster:06d}", emit)
+
+
+def write_cluster_vectors(members: DataFrame, rows: DataFrame, prefix: str) -> None:
+    """The rows (row_id, text, vector) of each cluster as a vector table of its own, named as the row ids' files are, with .vdb.
+
+    Each row comes twice, first for its vector and then for its text, as the format wants them, so that no cluster is held.
+    """
+    own = members.select("layer", "cluster", "row_id").join(rows.select("row_id", "text", "vector"), "row_id")
+    facts = own.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("length"))
+    both = own.join(facts, ["layer", "cluster"]).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    slim = both.select("layer", "cluster", "row_id", "n", "length", "part", F.when(F.col("part") == 1, F.col("text")).alias("text"), F.when(F.col("part") == 0, F.col("vector")).alias("vector"))
+
+    def emit(state: dict, batch: pa.RecordBatch) -> bytes:
+        n, length = batch.column("n")[0].as_py(), batch.column("length")[0].as_py()
+        out = b"" if state else VECTOR_MAGIC + struct.pack("<BQQ", DOUBLE, n, length)
+        state["open"] = True
+        texts = int(np.searchsorted(np.array(batch.column("part")), 1))
+        return out + vector_bytes(batch.column("vector").slice(0, texts), False, length) + text_bytes(batch.column("text").slice(texts))
+
+    _write_files(slim, ["layer", "cluster"], ["part", "row_id"], lambda layer, cluster: f"{prefix}L{layer:04d}-C-{cluster:06d}.vdb", emit)

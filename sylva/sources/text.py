@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.bpe import binary_embedding
+from sylva.operators.tree import CLUSTER_FILE
+from sylva.session import numbered
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """row_id, value: every line, numbered from 0 by file name and place in it.
@@ -58,9 +62,9 @@ def tsv_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def cluster_folder(spark: SparkSession, path: str) -> DataFrame:
     """layer, cluster, row_id of files named L<layer>-C-<cluster> with a row id a line; a row twice in a layer is an error."""
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"L(\d+)-C-(\d+)$", 0)
+    name = F.regexp_extract(F.col("_metadata.file_path"), CLUSTER_FILE, 0)
     found = spark.read.text(path).select(name.alias("name"), F.trim("value").alias("value")).where("name <> '' and value <> ''")
-    rows = found.select(*[F.regexp_extract("name", r"L(\d+)-C-(\d+)$", g).cast("int").alias(c) for g, c in ((1, "layer"), (2, "cluster"))], F.col("value").cast("long").alias("row_id"))
+    rows = found.select(*[F.regexp_extract("name", CLUSTER_FILE, g).cast("int").alias(c) for g, c in ((1, "layer"), (2, "cluster"))], F.col("value").cast("long").alias("row_id"))
     twice = F.count(F.lit(1)).over(Window.partitionBy("layer", "row_id")) > 1
     message = F.concat(F.lit("row "), F.col("row_id").cast("string"), F.lit(" stands twice in layer "), F.col("layer").cast("string"))
     return rows.withColumn("_twice", twice).select(F.when(F.col("_twice"), F.raise_error(message).cast("int")).otherwise(F.col("layer")).alias("layer"), "cluster", "row_id")
@@ -69,16 +73,23 @@ def cluster_folder(spark: SparkSession, path: str) -> DataFrame:
 # ---- sinks
 
 
-def write_cluster_folder(members: DataFrame, path: str) -> None:
-    """Row ids a line, in a folder for each layer and cluster."""
-    members.orderBy("layer", "cluster", "row_id").select("layer", "cluster", F.col("row_id").cast("string").alias("value")).write.partitionBy("layer", "cluster").text(path)
-
-
 def projection_lines(projected: DataFrame) -> DataFrame:
     """Tab-separated components with six decimals, in order of row_id."""
     return projected.orderBy("row_id").select(F.array_join(F.transform("pc", lambda x: F.format_string("%f", x)), "\t").alias("value"))
 
 
+def eigenvalue_lines(values: DataFrame) -> DataFrame:
+    """All eigenvalues of (k, eigenvalue) in ascending order, one a line, with six decimals."""
+    return values.orderBy("k").select(F.format_string("%f", "eigenvalue").alias("value"))
+
+
+def beir_vectors(lines: DataFrame, tokenizer) -> DataFrame:
+    """row_id, name, vector (set positions) of the texts of a retrieval corpus (name, text); row_id follows the name."""
+    rows = numbered(lines, ["name"], "row_id")
+    bits = binary_embedding(rows, tokenizer)
+    return bits.join(rows.select("row_id", "name"), "row_id").select("row_id", "name", F.col("bits").alias("vector"))
+
+
 def vector_lines(rows: DataFrame) -> DataFrame:
     """One component a line, as %10.8f."""
     return rows.select("row_id", F.posexplode("vector").alias("pos", "x")).select("row_id", "pos", F.format_string("%10.8f", "x").alias("value"))

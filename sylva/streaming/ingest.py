@@ -24,4 +24,4 @@ def append_vectors(lines: DataFrame, embedder: Callable[[str], list[float] | Non
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts by tumbling window and key, with rows later than the watermark left out."""
-    return events.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n")).select("window.start", key, "n")
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count(F.lit(1)).alias("n")).select("window.start", key, "n")

@@ -2,6 +2,7 @@ import json
 import math
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,36 @@ def test_prompts(spark):
     assert prompt == rag.SYSTEM + "S\nContext 1:\na \n Context 2:\nb \n " + rag.USER + "hi" + rag.ASSISTANT + "yes?" + rag.USER + "go" + rag.ASSISTANT
 
 
+def test_conversations_find_passages_by_their_last_turn(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "cats purr"), (1, 1, "assistant", "yes"), (1, 2, "user", "dogs bark"), (2, 0, "assistant", "x"), (3, 0, "user", None)], "conv_id long, turn long, role string, text string")
+    docs = spark.createDataFrame([(0, "cats purr"), (1, "dogs bark"), (2, "a b")], "row_id long, text string")
+    embed = lambda df: clients.embed(df, clients.hash_embedder(16)).select("row_id", "vector")
+    rows = embed(docs).join(docs, "row_id")
+    got = {r.query_id: r.prompt for r in rag.conversation_prompts(turns, rows, embed, 1, system="S\n").collect()}
+    assert set(got) == {1, 3}
+    assert got[1] == rag.SYSTEM + "S\nContext 1:\ndogs bark \n " + rag.USER + "cats purr" + rag.ASSISTANT + "yes" + rag.USER + "dogs bark" + rag.ASSISTANT
+
+
+def test_names_of_chunks_become_one(spark):
+    named = spark.createDataFrame([(0, 0, 0, " a "), (0, 1, 0, "b"), (0, 1, 1, "c"), (0, 1, 2, "b"), (0, 2, 0, None), (1, 0, 0, ""), (1, 0, 1, "d")], "layer int, cluster int, chunk int, label string")
+    prompts = {(r.layer, r.cluster): r for r in rag.unification_prompts(named, "S\n").collect()}
+    assert set(prompts) == {(0, 0), (0, 1), (1, 0)} and prompts[0, 0].label == "a" and prompts[0, 0].prompt is None and prompts[1, 0].label == "d"
+    assert prompts[0, 1].label is None and prompts[0, 1].prompt.endswith("b\nc") and prompts[0, 1].chunks == 3
+    assert {tuple(r) for r in rag.unify(named, lambda p: " both ").collect()} == {(0, 0, "a"), (0, 1, "both"), (1, 0, "d")}
+    one = spark.createDataFrame([('{"content":"x"}', "no json")], "a string, b string")
+    assert tuple(one.select(rag.whole_content(F.col("a")), rag.whole_content(F.col("b"))).first()) == ("x", None)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from sylva.session import shared_dir
+
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://x:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context))
+
+
 def test_requests_and_answers(spark):
     one = spark.createDataFrame([('say "x"', ["data:{\"content\":\"a\"}", "", "data: {\"content\":\"b\"}"], '[{"index":0,"embedding":[[1.5,2]]}]', '{"error":{"message":"the input is too large to process"}}')], "p string, s array<string>, ok string, bad string")
     r = one.select(rag.completion_request(F.col("p"), 7).alias("q"), rag.stream_content(F.col("s")).alias("a"), rag.decode_embedding(F.col("ok")).alias("v"), rag.decode_embedding(F.col("bad")).alias("n"), rag.too_large(F.col("bad")).alias("t"), rag.embedding_request(F.col("p")).alias("e")).first()
@@ -119,6 +150,19 @@ def test_binary_formats(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == sorted(x for x in LAYERS if x[0] == 1)
     with pytest.raises(ValueError):
         formats.decode_layer(b"other")
+    gap = spark.createDataFrame([(0, 9, 2), (0, 4, 0), (0, 5, 2)], "layer int, row_id long, cluster int")
+    formats.write_layers(gap, str(tmp_path / "gap"))
+    assert formats.decode_layer((tmp_path / "gap0000").read_bytes()) == [(0, [4]), (1, []), (2, [5, 9])]
+    with (tmp_path / "a.vdb").open("rb") as f:
+        f.read_at = lambda n, at: (f.seek(at), f.read(n))[1]
+        assert formats.text_offsets(f, 1, 20) == formats.text_offsets(f, 1) and len(formats.text_offsets(f, 7, 8)) == 4
+    rows = spark.createDataFrame([(i, None if i == 3 else f"é{i}", [float(i), 2.0]) for i in range(15)], "row_id long, text string, vector array<double>")
+    (tmp_path / "clusters").mkdir()
+    formats.write_cluster_vectors(members(spark), rows, f"{tmp_path}/clusters/")
+    back = spark.read.format("vdb").load(str(tmp_path / "clusters/L0001-C-000001.vdb")).orderBy("row_id").collect()
+    assert [(r.text, r.vector) for r in back] == [(f"é{i}", [float(i), 2.0]) for i in range(11, 15)]
+    with pytest.raises(ValueError, match="different lengths"):
+        formats.vector_bytes(pa.array([[1.0], [1.0, 2.0]]), False, 1)
 
 
 def test_text_sources(spark, tmp_path):
@@ -143,8 +187,10 @@ def test_text_sources(spark, tmp_path):
     (tmp_path / "cl" / "L0004-C-000003").write_text("3\n")
     with pytest.raises(Exception, match="stands twice"):
         text.cluster_folder(spark, str(tmp_path / "cl")).collect()
-    text.write_cluster_folder(members(spark), str(tmp_path / "out"))
-    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out/layer=0/cluster=1")).collect()) == ["5", "6", "7", "8", "9"]
+    (tmp_path / "out").mkdir()
+    formats.write_cluster_files(members(spark), str(tmp_path / "out/x-"))
+    assert (tmp_path / "out/x-L0000-C-000001").read_text() == "5\n6\n7\n8\n9\n" and len(list((tmp_path / "out").iterdir())) == 6
+    assert sorted(map(tuple, text.cluster_folder(spark, str(tmp_path / "out")).select("layer", "row_id", "cluster").collect())) == sorted(LAYERS)
     rows = spark.createDataFrame([(0, "t", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0])], "row_id long, text string, vector array<double>")
     assert text.entry_lines(rows).first().value.split("\n")[-1] == "t" and len(text.entry_lines(rows).first().value.split("\n")) == 3
     assert tuple(text.details(rows).first()) == ("double", 6, 1)

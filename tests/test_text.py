@@ -29,6 +29,8 @@ def test_slice_table(spark):
     assert [r.slice for r in got] == ["the quick brown", " fox jumps over", " the lazy do", ""]
     both = text.slices(docs(spark, FOX.decode()), 16, overlap=True).orderBy("pos").collect()
     assert [r.slice for r in both] == ["the quick brown", " fox jumps over", " the lazy do", "k brown fox", " jumps over the", " lazy do"]
+    short = text.slices(docs(spark, "abc", "abcdefgh", "abcdefghi", None), 16, overlap=True).orderBy("row_id", "pos").collect()
+    assert [(r.row_id, r.start, r.slice) for r in short] == [(0, 0, "abc"), (1, 0, "abcdefgh"), (1, 8, ""), (2, 0, "abcdefghi"), (2, 8, "i"), (3, 0, "")]
 
 
 def test_words(spark):
@@ -75,12 +77,26 @@ def one_at_a_time(words, size):
 def test_bpe_matches_merging_one_pair_at_a_time(spark):
     rng = random.Random(3)
     words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 7))) for _ in range(120)]
-    assert bpe.train(docs(spark, " ".join(words)), 40).rules == one_at_a_time(words, 40)
+    corpus = docs(spark, " ".join(words), "aaaa aaaaa a")
+    want = one_at_a_time([*words, "aaaa", "aaaaa", "a"], 40)
+    assert bpe.train(corpus, 40).rules == want == bpe.train(corpus, 40, task_tokens=-1).rules
+    assert bpe.train(corpus, merges=9).rules == want[:9] and bpe.train(corpus, 40, 3).rules == want[:3]
+    with pytest.raises(ValueError):
+        bpe.train(corpus)
     assert bpe.train(docs(spark, "aa"), 2).rules == []
     assert bpe.train(docs(spark, ""), 9).rules == []
     assert len(bpe.train(docs(spark, "ab"), 99).rules) == 2
 
 
+def test_learning_with_many_ids(monkeypatch):
+    monkeypatch.setattr(bpe, "DENSE", 0)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 12))) for _ in range(60)]
+    flat = [[b"ab".index(c) for c in w.encode()] + [2] for w in words]
+    got = bpe.learn(np.array([x for w in flat for x in w]), np.cumsum([0, *map(len, flat)]), np.ones(60, np.int64), 4, 30)
+    assert got == one_at_a_time(words, 34)
+
+
 def test_merges_of_a_batch():
     rng = random.Random(5)
     for _ in range(300):

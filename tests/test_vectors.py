@@ -41,6 +41,8 @@ def test_distances(spark):
 @pytest.mark.parametrize("metric", ["cosine", "l2", "yule"])
 def test_knn_and_pairs(spark, metric, monkeypatch):
     monkeypatch.setattr(knn, "QUERY_BYTES", 200)
+    monkeypatch.setattr(knn, "ROWS", 7)
+    monkeypatch.setattr(knn, "CELLS", 20)
     monkeypatch.setattr("sylva.operators.blocks.ROWS", 7)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(30, 10)) if metric != "yule" else (rng.random((30, 10)) < 0.5).astype(float)
@@ -98,6 +100,26 @@ def test_density_matches_a_sequential_scan(spark):
             assert all(names[r.cluster] == r.label for r in got if r.step == k)
 
 
+def test_density_of_any_row_ids(spark):
+    rng = random.Random(7)
+    x = np.array([[rng.randrange(10), rng.randrange(10)] for _ in range(80)], float)
+    ids = sorted(rng.sample([*range(-(1 << 63), 1 << 63, 1 << 56)], 76) + [-1, 0, (1 << 63) - 1, 1 << 44])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "row_id long, vector array<double>")
+    nb = density.neighbours_on_grid(df, 2.0).cache()
+    eps = [1.0, 1.5, 2.0]
+    one, many = (sorted(map(tuple, density.dbscan_many(nb, eps, 3, task_pairs=n).collect())) for n in (10**6, 0))
+    want = [(k, ids[i], ids[v]) for k, e in enumerate(eps) for i, v in enumerate(sequential(distances.block("l2", x, x), e, 3)) if v is not None]
+    assert [r[:3] for r in one] == sorted(want) and one == many
+
+
+def test_layers_by_joins(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.1, (15, 2)) for c in ((0, 0), (1, 0), (0, 1.3))])
+    grid = lambda r: density.neighbours_on_grid(rows(spark, x), r)
+    got = [density.adaptive(grid, 0.15, 0.1, 4, 40, task_pairs=n) for n in (10**6, 0)]
+    assert got[0].stats == got[1].stats and sorted(got[0].members.collect()) == sorted(got[1].members.collect())
+
+
 def test_layers_shrink_and_children_have_one_parent(spark):
     from sylva.operators import tree
 
@@ -144,6 +166,44 @@ def test_layers_go_on_until_one_cluster_is_left(spark, monkeypatch):
     assert [s[3] for s in density.adaptive(grid, 0.02, 0.005, 5, largest=0.05).stats] == [2]
 
 
+def test_yule_of_whole_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.random((12, 300)) < 0.4).astype(float)
+    sets = [np.flatnonzero(r).tolist() for r in x]
+    d = distances.block("yule_simd", x, x, 300)
+    assert all(d[0, k] == pytest.approx(yule(spark, sets[0], sets[k], 300, True), nan_ok=True) for k in range(12))
+    assert not np.allclose(d[0, 1:], distances.block("yule", x, x, 300)[0, 1:])
+    assert np.isnan(distances.block("yule_simd", x[:, :64], x[:, :64], 64)).all()
+    got = knn.knn(rows(spark, sets[:2], "int"), rows(spark, sets, "int"), 3, "yule_simd", 300).orderBy("query_id", "rank").collect()
+    for q in range(2):
+        assert [r.row_id for r in got if r.query_id == q] == sorted(range(12), key=lambda j: (d[q, j], j))[:3]
+
+
+def test_ties_and_nan_of_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(knn, "ROWS", 9)
+    x = np.array([[1.0, 0.0]] * 40 + [[0.0, 0.0]] * 10 + [[0.0, 1.0]] * 3)
+    got = knn.knn(rows(spark, x).where("row_id in (5, 45)"), rows(spark, x), 44).collect()
+    by = {q: [r.row_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (5, 45)}
+    assert by == {5: [*range(40), 50, 51, 52, 40], 45: list(range(44))}
+
+
+def test_numbers_follow_the_order(spark):
+    from sylva.session import numbered
+
+    rng = random.Random(2)
+    df = spark.createDataFrame([(rng.randrange(50), i, "x") for i in range(500)], "a int, row int, part string").repartition(7)
+    got = numbered(df, ["a", "row"], "n").orderBy("n").collect()
+    assert [r.n for r in got] == list(range(500)) and [(r.a, r.row) for r in got] == sorted((r.a, r.row) for r in got) and got[0].part == "x"
+    assert numbered(df.limit(0), ["a"], "n").count() == 0
+
+
+def test_pca_far_from_zero(spark):
+    x = np.random.default_rng(5).normal(size=(200, 70))
+    model = pca.fit(rows(spark, x + 1e7).repartition(9))
+    assert model.covariance == pytest.approx(np.cov((x + 1e7 - 1e7).T, bias=True), abs=1e-8)
+    assert pca.fit(rows(spark, x).limit(0)).values.size == 0
+
+
 def test_pca(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(51, 5)) @ rng.normal(size=(5, 5)) + 3
