@@ -1,14 +1,19 @@
-"""Exact byte-level BPE over memoised chunks of text.
+"""Exact byte-level BPE over memoised chunks of text, and the token counts of all prefixes.
 
 A text falls into chunks at single spaces between two characters that are not white space: the pre-tokenizer always
 starts a piece there and looks no further back, so chunks encode independently and their ids or counts concatenate.
-Chunks repeat (words do), so each worker keeps a bounded memo of them.
+Chunks repeat (words do), so each worker keeps a bounded memo of the short ones.
+
+The counts of a text's prefixes are kept as steps: a signed byte for each code point, by how much the count of the prefix
+that ends with it differs from the one before. A step is below the longest token's length, so a byte holds it.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from functools import cache
+from operator import sub
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +22,9 @@ import tiktoken
 
 from sylva.llm.common import Memo
 
-#: Chunks, pieces or pairs that a worker remembers, each kind.
-MEMO = 800_000
+#: Chunks, pieces or pairs that a worker remembers, each kind; chunks and pieces of fewer characters than SHORT, so that
+#: their number bounds the bytes.
+MEMO, SHORT = 800_000, 64
 
 
 @cache
@@ -33,6 +39,11 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _differences(counts: list[int]) -> bytes:
+    """Each count less the one before, the first as it is, as signed bytes."""
+    return array("b", map(sub, counts, [0, *counts])).tobytes()
+
+
 class Codec:
     """A byte-level BPE read from a tokenizers .json file."""
 
@@ -54,12 +65,11 @@ class Codec:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.vocab, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.longest = max(map(len, self.vocab))
-        self.piece_ids = Memo(self.merge, MEMO // 4)
-        self.chunk_counts = Memo(self._count, MEMO)
+        self.chunk_steps = Memo(self._steps, MEMO)
         # for the prefix programme: bytes that end some token, and which neighbours keep apart
         self.tails = {t[i:]: -1 for t in self.vocab for i in range(len(t))} | self.vocab
         self.apart = Memo(lambda pair: self.merge(self.tokens[pair >> 20] + self.tokens[pair & 0xFFFFF]) == (pair >> 20, pair & 0xFFFFF), MEMO // 2)
-        self.piece_counts = Memo(lambda piece: self.prefix_piece(piece.encode())[-1], MEMO // 2)
+        self.piece_steps = Memo(self._piece, MEMO // 4)
         self.whole = Memo(lambda t: self.merge(t) == (self.vocab[t],), MEMO // 4)
 
     # ---- encoding
@@ -145,80 +155,104 @@ class Codec:
                 count.append(count[j] + 1)
         return count[1:]
 
-    def _count(self, chunk: str) -> int:
-        """The count of the longest prefix of a chunk."""
+    def _piece(self, piece: str) -> bytes:
+        """The steps of one piece, a prefix ending within it being a piece as well."""
+        counts = self.prefix_piece(piece.encode())
+        if len(counts) != len(piece):
+            byte, ends = -1, []
+            for c in piece:
+                byte += len(c.encode())
+                ends.append(counts[byte])
+            counts = ends
+        return _differences(counts)
+
+    def _piece_steps(self, piece: str) -> bytes:
+        return self.piece_steps[piece] if len(piece) < SHORT else self._piece(piece)
+
+    def _steps(self, chunk: str) -> bytes:
+        """The steps of a chunk, piece by piece.
+
+        Two kinds of piece are cut otherwise while a prefix ends within them. A run of white space is one piece so far; what
+        follows it makes its last character part of the next piece, or one of its own. And a contraction is an apostrophe
+        and letters until it is complete.
+        """
         body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha() and len(body) < 64:  # letters, with at most a space before, are one piece
-            return self.piece_counts[chunk]
-        if body[-1:] in (".", ",") and body[:-1].isalpha() and len(body) < 64:
-            return self.piece_counts[chunk[:-1]] + 1
-        if len(chunk) < 64 and not chunk[1:].isspace():
-            return sum(map(self.piece_counts.__getitem__, self.pieces(chunk)))
-        counts = self._prefixes(chunk)
-        return counts[-1] if counts else 0
-
-    def _prefixes(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        base, at = 0, 0
+        if body.isalpha():  # letters, with at most a space before, are one piece
+            return self._piece(chunk)
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return (self.chunk_steps[chunk[:-1]] if len(chunk) < SHORT else self._piece(chunk[:-1])) + b"\1"
+        out: list[bytes] = []
         pieces = self.pieces(chunk)
         n = 0
         while n < len(pieces):
             piece = pieces[n]
             n += 1
-            joined = piece
-            if piece.isspace():  # a prefix that ends within a white run takes the run so far as one piece
-                while n < len(pieces) and (pieces[n][0].isspace() or joined[-1].isspace()):
-                    joined += pieces[n]
-                    n += 1
-                    if not joined[-1].isspace():
-                        break
-            if joined is piece and not (piece[0] == "'" and len(piece) > 1):
-                raw = piece.encode()
-                count = self.prefix_piece(raw)
-                if len(raw) == len(piece):
-                    out += [base + c for c in count]
-                else:
-                    byte = -1
-                    for c in piece:
-                        byte += len(c.encode())
-                        out.append(base + count[byte])
+            if piece.isspace():
+                run, last = piece, n
+                while last < len(pieces) and pieces[last].isspace():
+                    run += pieces[last]
+                    last += 1
+                after = pieces[last] if last < len(pieces) else ""
+                joined = after[:1].isspace()  # the run's last character begins the next piece
+                run += after[:1] if joined else ""
+                steps = self._piece_steps(run)
+                out.append(steps)
+                if after:
+                    # from the count of the run as one piece to that of the pieces it is cut into
+                    held = sum(sum(array("b", self._piece_steps(p))) for p in pieces[n - 1 : last])
+                    own = array("b", self._piece_steps(after))
+                    change = held - sum(array("b", steps))
+                    if joined:
+                        change += own.pop(0)
+                    own[0] += change
+                    out.append(own.tobytes())
+                    last += 1
+                n = last
+            elif piece[0] == "'" and len(piece) > 1 and piece[1:].isalpha():
+                counts = [sum(sum(array("b", self._piece_steps(p))) for p in self.pieces(piece[:k])) for k in range(1, len(piece) + 1)]
+                out.append(_differences(counts))
             else:
-                white = len(joined) - len(joined.lstrip())
-                run = self.prefix_piece(joined[:white].encode()) if white else []
-                byte = -1
-                for c in joined[:white]:
-                    byte += len(c.encode())
-                    out.append(base + run[byte])
-                for k in range(white + 1, len(joined) + 1):
-                    out.append(base + sum(len(self.piece_ids[p.encode()]) for p in self.pieces(joined[:k])))
-            base = out[-1]
-            at += len(joined)
-        return out
-
-    def prefix_counts(self, text: str) -> np.ndarray:
-        """Exact token counts of the prefixes of 1, 2, ... code points of a text.
+                out.append(self._piece_steps(piece))
+        return b"".join(out)
+
+    def _plain(self, text: str) -> bytes:
+        """The steps of a text without special strings."""
+        return b"".join([self.chunk_steps[c] if len(c) < SHORT else self._steps(c) for c in chunks(text)]) if text else b""
+
+    def prefix_steps(self, text: str) -> bytes:
+        """The steps of the exact token counts of all prefixes of a text, by code points.
 
         Special strings count as one token once complete; a prefix that ends inside one counts it as ordinary text.
         """
-        out: list[int] = []
-        done, before = 0, ""
-        for part, special in self._parts(text):
+        parts = self._parts(text)
+        if len(parts) == 1 and parts[0][1] is None:
+            return self._plain(text)
+        out, before = [], ""
+        for part, special in parts:
             if special is None:
-                for chunk in chunks(part):
-                    counts = self._prefixes(chunk)
-                    out += [done + c for c in counts]
-                    done = out[-1] if out else 0
+                out.append(self._plain(part))
                 before = part
             else:
-                start = done - self.count(before)
-                out += [start + self.count(before + part[:k]) for k in range(1, len(part))]
-                done, before = done + 1, ""
-                out.append(done)
-        return np.array(out, "i8")
+                tail = self._open_end(before)
+                done = sum(array("b", self._plain(tail)))
+                counts = [done, *[sum(array("b", self._plain(tail + part[:k]))) for k in range(1, len(part))], done + 1]
+                out.append(array("b", map(sub, counts[1:], counts)).tobytes())
+                before = ""
+        return b"".join(out)
+
+    def _open_end(self, text: str) -> str:
+        """The last pieces of a text, which a special string's beginning may be cut together with; none after a letter or digit."""
+        if not text or text[-1].isalnum():
+            return ""
+        pieces = self.pieces(chunks(text)[-1])
+        k = len(pieces) - 1
+        while k and pieces[k].isspace() and pieces[k - 1].isspace():
+            k -= 1
+        return "".join(pieces[k:])
 
     def count(self, text: str) -> int:
-        """The last entry of the prefix counts, from the memoised last entries of the chunks."""
-        return sum(1 if special is not None else sum(map(self.chunk_counts.__getitem__, chunks(part))) for part, special in self._parts(text))
+        """The count of the longest prefix."""
+        return int(np.frombuffer(self.prefix_steps(text), np.int8).sum(dtype=np.int64))
 
 
 def chunks(text: str) -> list[str]:
