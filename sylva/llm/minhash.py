@@ -10,7 +10,8 @@ an edit weighs about as much as the text around it even inside a group of copies
 shingles' own frequencies would leave only the edits to compare. Word frequencies are counted over all documents in a
 table of fixed size, so what each executor holds does not grow with the data.
 
-Equal texts are one class from the start. Within a bucket every member is first compared with the smallest one, where
+Texts of equal words are one class from the start, known by a number of its own and not by a document's id, so rows
+that share an id are compared each by its text; copies take no part in what follows. Within a bucket every member is first compared with the smallest one, where
 their samples make a link likely. What remains apart after that is compared across the remaining components, likely or
 not, in blocks of bounded size whose tasks return the links they verify and no pairs; so no candidate pair is lost, and
 what is sent grows with a bucket's size, not with its square, but for a factor of its stragglers over BLOCK. Only exact
@@ -210,11 +211,11 @@ def _signatures(docs: DataFrame, idf) -> DataFrame:
             sigs.append(sig.view(np.int32))
             bands.append(band_keys(sig))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(weight, pa.float64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
-            ["doc_id", "same", "weight", "sig", "bands"],
+            [batch.column("doc_id"), batch.column("h"), pa.array(same, pa.binary()), pa.array(weight, pa.float64()), pa.array(sigs, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))],
+            ["doc_id", "h", "same", "weight", "sig", "bands"],
         )
 
-    return map_batches(docs, run, "doc_id long, same binary, weight double, sig array<int>, bands array<long>")
+    return map_batches(docs, run, "doc_id long, h long, same binary, weight double, sig array<int>, bands array<long>")
 
 
 def _likely(a: str, b: str):
@@ -223,13 +224,18 @@ def _likely(a: str, b: str):
     return (F.least(f"{a}.weight", f"{b}.weight") >= (SIMILARITY - 1e-6) * F.greatest(f"{a}.weight", f"{b}.weight")) & (agree >= LIKELY * BANDS * ROWS)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose texts have a weighted Jaccard similarity of at least 0.8."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.where("doc_id is not null").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text for some classes: the text of one row of each."""
+    wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("rep").alias("doc_id"), "h")
+    few = wanted.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "h"]).groupBy("node").agg(F.min("text").alias("text"))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, idf) -> DataFrame:
+    """The pairs (a, b) of classes whose texts have a weighted Jaccard similarity of at least 0.8."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, docs)
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = (None, None)
@@ -252,28 +258,25 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
     buckets is compared in the first. Within a task likelier pairs come first, and components that a link joins are one
     from then on. Every other pair is verified unless an exact bound rules it out.
     """
-    placed = banded.join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = banded.join(near, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = counted.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("m"), F.sum("n").alias("all")).where("m < all")
     mixed = mixed.select("key", "main", F.ceil(F.col("m") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("m")) / BLOCK).alias("others"))
     own = placed.join(mixed, "key").withColumn("is_main", F.col("component") == F.col("main"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
+    own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))))
     span = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     block = F.col("block")
     cells = F.when(F.col("is_main"), F.transform(span(F.col("others")), lambda j: cell("main", block, j))).otherwise(
         F.concat(F.transform(span(F.col("mains")), lambda i: cell("main", i, block)), F.transform(span(F.col("others")), lambda j: cell("other", F.least(block, j), F.greatest(block, j))))
     )
-    own = cut(own.select("key", "rep", "component", "is_main", "block", cells.alias("cells")))
-    ids = own.select(F.col("rep").alias("doc_id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.min("text").alias("text"))
-    facts = classes.dropDuplicates(["rep"]).select("rep", "weight", "sig", "bands").join(texts, "rep")
-    dealt = own.withColumn("cell", F.explode("cells")).select("key", "cell.kind", "cell.i", "cell.j", "rep", "component", "is_main", "block").join(facts, "rep")
+    own = cut(own.select("key", "node", "component", "is_main", "block", cells.alias("cells")))
+    facts = classes.select("node", "weight", "sig", "bands").join(_texts(own.select("node").distinct(), classes, docs), "node")
+    dealt = own.withColumn("cell", F.explode("cells")).select("key", "cell.kind", "cell.i", "cell.j", "node", "component", "is_main", "block").join(facts, "node")
 
     def run(table: pa.Table) -> pa.Table:
         kind, i, j, key = (table.column(c)[0].as_py() for c in ("kind", "i", "j", "key"))
-        rep, main, at, group, weight = (np.array(table.column(c)) for c in ("rep", "is_main", "block", "component", "weight"))
+        node, main, at, group, weight = (np.array(table.column(c)) for c in ("node", "is_main", "block", "component", "weight"))
         sig, bands = (np.stack(table.column(c).to_pandas()) for c in ("sig", "bands"))
         if kind == "main":
             left, right = np.flatnonzero(main), np.flatnonzero(~main)
@@ -290,7 +293,7 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
             keep = np.flatnonzero(close & first & (group[own] != group[x]))
             pairs.append((np.full(len(keep), x), own[keep], agree[keep]))
         xs, ys, agrees = (np.concatenate(c) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 3
-        folds = np.zeros((len(rep), FOLDS), np.float32)
+        folds = np.zeros((len(node), FOLDS), np.float32)
         text = table.column("text")
 
         def shingled(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,59 +322,75 @@ def _stragglers(banded: DataFrame, near: DataFrame, classes: DataFrame, docs: Da
             if gx == gy:
                 continue
             if similarity(shingled(x), shingled(y)) >= SIMILARITY:
-                found_a.append(int(rep[x])), found_b.append(int(rep[y]))
+                found_a.append(int(node[x])), found_b.append(int(node[y]))
                 root[max(gx, gy)] = min(gx, gy)
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
     return dealt.groupBy("key", "kind", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, cluster_id, kept for each row of docs (doc_id, text, ...).
-
-    cluster_id is the smallest doc_id that links of similarity 0.8 or more reach; kept marks the row that stays for its
-    group. Null, empty and white texts are like nothing, equal ones included: each is a group of its own. A null doc_id
-    gives cluster_id null and kept true. Rows that share an id are one document: they share a group. An empty table gives
-    no rows; other columns are not read.
-    """
+def _groups(docs: DataFrame) -> DataFrame:
+    """doc_id, h (the hash of the text), cluster_id, kept for each row of docs (doc_id long, text, h) with an id."""
     spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     table, n = word_frequencies(docs)
     idf = spark.sparkContext.broadcast(inverse_frequencies(table, n))
-    signed = cut(_signatures(docs.where("doc_id is not null"), idf))
-    classes = signed.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("weight", "sig", "bands")])
-    classes = cut(classes.select("same", "rep", "weight", "sig", "bands"))
-    copies = signed.where("same is not null").select("doc_id", "same").join(classes.select("same", "rep"), "same").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    facts = classes.select("rep", "weight", "sig").dropDuplicates(["rep"])
-    banded = classes.select("rep", F.explode("bands").alias("key"))
-
-    # against the smallest member of each bucket
-    leaders = banded.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
-    star = banded.join(leaders, "key").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
-    named = star.join(facts.alias("x"), F.col("a") == F.col("x.rep")).join(facts.alias("y"), F.col("b") == F.col("y.rep"))
-    first = cut(_verified(cut(named.where(_likely("x", "y")).select("a", "b")), docs, idf))
+    docs = docs.where("doc_id is not null")
+    signed = cut(_signatures(docs, idf))
+    known = signed.where("same is not null")
+    classes = known.groupBy("same").agg(F.min(F.struct("doc_id", "h")).alias("first"), *[F.first(c).alias(c) for c in ("weight", "sig", "bands")])
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("node"), "same", F.col("first.doc_id").alias("rep"), "first.h", "weight", "sig", "bands"))
+    facts = classes.select("node", "weight", "sig")
+    banded = classes.select("node", F.explode("bands").alias("key"))
+
+    # against the first member of each bucket
+    leaders = banded.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "lead")
+    star = banded.join(leaders, "key").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
+    named = star.join(facts.alias("x"), F.col("a") == F.col("x.node")).join(facts.alias("y"), F.col("b") == F.col("y.node"))
+    first = cut(_verified(cut(named.where(_likely("x", "y")).select("a", "b")), classes, docs, idf))
     near = cut(components(first))
+    second = cut(_stragglers(banded, near, classes, docs, idf))
 
-    second = cut(_stragglers(banded, near, classes, docs.where("doc_id is not null"), idf))
+    joined = components(first.union(second)).join(classes.select("node", "rep", "h"), "node")
+    leads = joined.groupBy("component").agg(F.min(F.struct("rep", "h", "node")).alias("lead"))
+    led = joined.select("node", "component").join(leads, "component").select("node", "lead")
+    alone = F.struct("rep", "h", "node")
+    lead = classes.join(led, "node", "left").select("same", F.coalesce("lead", alone).alias("lead"))
+    rows = known.select("doc_id", "h", "same").join(lead, "same").select("doc_id", "h", F.col("lead.rep").alias("cluster_id"), ((F.col("doc_id") == F.col("lead.rep")) & (F.col("h") == F.col("lead.h"))).alias("kept"))
+    return rows.unionByName(signed.where("same is null").select("doc_id", "h", F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept")))
 
-    groups = components(first.union(second).union(copies))
-    out = docs.select("doc_id").join(groups, F.col("doc_id") == F.col("node"), "left")
-    cluster = F.coalesce("component", "doc_id")
-    return out.select("doc_id", cluster.alias("cluster_id"), F.coalesce(cluster == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, cluster_id, kept for each row of docs (doc_id, text, ...).
+
+    cluster_id is the smallest doc_id that links of similarity 0.8 or more reach; kept marks the row that stays for its
+    group. Null, empty and white texts are like nothing, equal ones included: each is a group of its own. A null doc_id
+    gives cluster_id null and kept true. Rows are compared by their texts, also where they share an id; rows equal in id
+    and text share their group and their kept. Of a group's rows with the smallest id, that of the smallest text hash is
+    kept. An empty table gives no rows; other columns are not read; texts of any length are read whole.
+    """
+    prepare(docs.sparkSession)
+    slim = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    found = _groups(slim).select("doc_id", "cluster_id", "kept")
+    return found.unionByName(slim.where("doc_id is null").select("doc_id", F.col("doc_id").alias("cluster_id"), F.lit(True).alias("kept")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, that of the smallest id, with all columns of docs.
 
-    Rows without an id stay; of rows that share an id one stays.
+    Rows without an id stay, as do null, empty and white texts; of rows that are equal in id and text one stays, whose
+    other columns come first as JSON. Rows that share an id but not their text go by their texts. Columns of any name come
+    through; an empty table gives no rows.
     """
-    gone = cut(near_duplicates(docs).where("not kept").select("doc_id").distinct())
-    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    numbered = left.where("doc_id is not null").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return numbered.where("_row = 1").drop("_row").unionByName(left.where("doc_id is null"))
+    prepare(docs.sparkSession)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    gone = cut(_groups(row.select(F.col("id").alias("doc_id"), "row.text", "h")).where("not kept").select(F.col("doc_id").alias("id"), "h").distinct())
+    left = row.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["id", "h"], "left_anti")
+    again = cut(row.where("id is not null").groupBy("id", "h").count().where("count > 1").select("id", "h"))
+    if again.isEmpty():
+        return left.select("row.*")
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    one = left.join(few, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.join(few, ["id", "h"], "left_anti").select("row").unionByName(one.select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

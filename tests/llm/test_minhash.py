@@ -56,6 +56,23 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    a, b, c = ([rng.choice(WORDS) for _ in range(80)] for _ in range(3))
+    near_b = [*b[:-1], "other"]
+    rows = [(1, a, "p"), (1, b, "q"), (2, near_b, "r"), (3, a, "s"), (4, c, "t"), (4, c, "u"), (None, a, "v"), (5, [], "w"), (5, [], "x")]
+    rows = [(i, " ".join(w), x, 0, 0) for i, w, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, row string, h int, id int")
+    got = sorted((r.doc_id or 0, r.cluster_id or 0, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (5, 5, True), (5, 5, True)]
+    left = minhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(r["row"] for r in left.collect()) in ([*"pqtvw"], [*"pqtvx"])
+    both = [(1, " ".join(b), "y"), (1, " ".join(near_b), "z")]
+    kept = [r.kept for r in minhash.near_duplicates(spark.createDataFrame(both, "doc_id long, text string, x string")).collect()]
+    assert sorted(kept) == [False, True]
+
+
 def test_samples_agree_as_often_as_sets_do():
     idf, rng = np.full(1 << minhash.FREQUENCY_BITS, 1.5, np.float32), random.Random(1)
     gaps = []
