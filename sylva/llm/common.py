@@ -14,6 +14,8 @@ from sylva.session import ship
 
 #: Rows and bytes of an Arrow batch: some texts are very long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
+#: Bytes of text that one task of a shuffle takes.
+PARTITION_BYTES = 128 << 20
 
 
 class Memo(dict):
@@ -41,6 +43,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def partitions_for(spark: SparkSession, size: int, each: int = PARTITION_BYTES) -> int:
+    """So many partitions that each holds about `each` bytes, and no fewer than the session shuffles to."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

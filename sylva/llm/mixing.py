@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva.llm.common import partitions_for
 from sylva.session import cut
 
 WEIGHTS = (5, 2, 1)
@@ -67,11 +68,13 @@ def mix(docs: DataFrame, shard_rows: int = SHARD_ROWS, carry: tuple[str, ...] =
 
     taken counts words with repeats: a multiple of the size, and part of it at the last block. Null text has size 0;
     null sources are one source, ranked last; repeated rows are documents of their own; an empty table, or one without
-    words, takes nothing; other columns are not read.
+    words, takes nothing; other columns are not read. Texts of any length are counted whole. A document's place in the mix
+    comes from its id and its text, so null or repeated ids are dealt over all shards.
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry)
-    slim = cut(slim.withColumn("key", key).withColumn("order", F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))))
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), *carry)
+    order = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "digest").cast("binary"))
+    slim = cut(slim.withColumn("key", key).withColumn("order", order).drop("digest"))
     sources = slim.groupBy("key", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TOKENS), F.expr(f"total div {LEAST_BLOCKS}"))).cast("long")
     plan = water_fill(sources).withColumn("block", block).withColumn("seats", F.expr("total div block")).withColumn("all", F.lit(0))
@@ -95,21 +98,25 @@ def apply_mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The mixed corpus, with the columns of docs: each row as often as the mix takes it.
 
     Of a last pass taken in part the text is cut after that many words, and n_chars, where there is one, follows. Rows
-    not taken are left out. Rows equal in all columns are taken together, which gives the same rows.
+    not taken are left out, those without words among them; repeated rows, rows that share an id, and null ids or sources
+    are rows of their own; an empty table gives no rows. Each row has a number from the start, and by that it meets its
+    part of the mix; columns of any name come through.
     """
-    names = docs.columns
-    row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
-    keyed = docs.withColumn("_row", row)
-    taken = mix(keyed, shard_rows, ("_row",)).groupBy("_row").agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).where("_taken > 0")
-    once = keyed.groupBy("_row").agg(*[F.first(c).alias(c) for c in names])
-    both = once.join(taken, "_row").withColumn("_full", F.expr("_taken div _size")).withColumn("_part", F.col("_taken") % F.col("_size"))
-    copies = both.withColumn("_words", F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("_full").cast("int")), F.when(F.col("_part") > 0, F.array("_part")).otherwise(F.array().cast("array<long>")))))
-    words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("_words") + 1).cast("int"))
-    text = F.when(F.col("_words").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), ""))
-    cut_rows = copies.withColumn("text", text)
+    spark, names = docs.sparkSession, docs.columns
+    held = cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*names).alias("row")))
+    bytes_ = held.agg(F.coalesce(F.sum(F.octet_length("row.text").cast("long")), F.lit(0))).first()[0]
+    taken = mix(held.select("row.doc_id", "row.text", "row.source", "at"), shard_rows, ("at",)).where("taken > 0")
+    parts = partitions_for(spark, bytes_)
+    both = held.repartition(parts, "at").join(taken.select("at", F.expr("taken div size").alias("full"), (F.col("taken") % F.col("size")).alias("part")).repartition(parts, "at"), "at")
+    each = F.concat(F.array_repeat(F.lit(None).cast("long"), F.col("full").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<long>")))
+    copies = both.select("row", F.explode(each).alias("words"))
+    spoken = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (F.col("words") + 1).cast("int"))
+    text = F.when(F.col("words").isNull(), F.col("row.text")).otherwise(F.array_join(F.slice(spoken, F.lit(1), F.col("words").cast("int")), ""))
+    copies = copies.select("row", "words", text.alias("text"))
+    own = {"text": F.col("text")}
     if "n_chars" in names:
-        cut_rows = cut_rows.withColumn("n_chars", F.when(F.col("_words").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut_rows.select(*names)
+        own["n_chars"] = F.when(F.col("words").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return copies.select(*[own.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +125,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, coalesce('=' || source, '-') AS key,
-  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS ord FROM documents),
+  md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS ord FROM documents),
 a AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, {REPEATS} * source_size AS cap, (sum(source_size) OVER ())::BIGINT AS total
   FROM (SELECT key, source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY key, source)),
 w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS weight FROM a),

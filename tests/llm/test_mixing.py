@@ -49,6 +49,26 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix(docs.where("doc_id = 2000")).collect()] == [0]
 
 
+def test_rows_keep_apart(spark):
+    rows = [(1, "a b c d", "", 5), (1, "a b c d", None, 6), (None, "e f", "s", 7), (None, "e f", "s", 7), (2, "", "s", 8), (3, None, "s", 9)] + [(10 + i, "x " * 40, "t", 0) for i in range(9)]
+    rows = [(*r, "x", "y", i) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int, at string, row string, _row int")
+    got = mixing.apply_mix(docs).collect()
+    taken = {(r.doc_id, r.source, r.size): 0 for r in mixing.mix(docs).collect()}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.source, r.size] += r.taken
+    seen = dict.fromkeys(taken, 0)
+    for r in got:
+        whole = rows[r["_row"]]
+        assert (r.doc_id, r.source, r["at"], r["row"]) == (whole[0], whole[2], "x", "y") and whole[1].startswith(r.text) and (r.text == whole[1] or r.n_chars == len(r.text))
+        seen[r.doc_id, r.source, len(whole[1].split())] += len(r.text.split())
+    assert seen == taken and sum(seen.values()) > 0
+    assert {r.source for r in got if r.doc_id == 1} == {"", None}
+    long = spark.createDataFrame([(1, "w " * 200_000, "a"), (2, "w", "b")], "doc_id long, text string, source string")
+    assert sorted((r.size, r.taken <= 3 * r.size) for r in mixing.mix(long).collect()) == [(1, True), (200_000, True)]
+    assert sum(len(r.text.split()) for r in mixing.apply_mix(long).collect()) == sum(r.taken for r in mixing.mix(long).collect())
+
+
 def test_apportionment_is_that_of_highest_quotients(spark):
     rng, rows, want = random.Random(5), [], {}
     for g in range(30):
