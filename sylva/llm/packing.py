@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import ngrams as ng
 from sylva.llm.bpe import codec
-from sylva.llm.common import map_batches, prepare, texts_of
+from sylva.llm.common import map_batches, partitions_for, prepare, texts_of
 
 LENGTH = 1024
 DIMENSIONS, SIDE_BITS, SALT_BITS = 4, 12, 15
@@ -89,9 +89,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "key long")
 
 
-def by_curve(docs: DataFrame, partitions: int) -> DataFrame:
-    """Columns key, part and those of docs (with `salt`); part counts the range of the key, with bounds from a sample of all rows."""
-    n = docs.count()
+def by_curve(docs: DataFrame, partitions: int, n: int) -> DataFrame:
+    """Columns key, part and those of the n docs (with `salt`); part counts the range of the key, with bounds from a sample of all rows."""
     size = max(SAMPLED, SAMPLED_EACH * partitions)
     sample = docs.sample(False, size / n, 23) if n > size else docs
     wanted = [k / partitions for k in range(1, partitions)]
@@ -125,14 +124,18 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = "byte_bpe_50k.
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and then id 0. Null text counts as empty (one id); repeated rows are documents of their own;
-    null ids stay null; an empty table gives no rows; other columns are not read. `length` is a power of two. Sequence
-    ids are unique, with gaps between partitions.
+    null ids stay null; an empty table gives no rows; other columns are not read. A document longer than a sequence is
+    cut over as many as it needs, and documents of one key stand by id, length and hash of the text. `length` is a power
+    of two. Sequence ids are unique, with gaps between partitions. There are as many partitions as the texts' bytes ask
+    for; documents of one place on the curve are dealt by the hash of id and text, so neither copies nor null or repeated
+    ids gather in one.
     """
     spark = docs.sparkSession
     prepare(spark)
-    parts = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << SALT_BITS)).alias("salt"))
-    dealt = by_curve(slim, parts).repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id", F.length("text"), F.xxhash64("text"))
+    slim = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << SALT_BITS)).alias("salt"))
+    n, size = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    parts = partitions or partitions_for(spark, size)
+    dealt = by_curve(slim, parts, n).repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id", F.length("text"), F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, seq, held = codec(vocabulary), TaskContext.get().partitionId() << 40, 0
