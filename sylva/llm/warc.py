@@ -4,7 +4,8 @@ A bundle is a file of independent Zstandard frames, each of some whole WARC reco
 identifiers to (frame, offset in it, length); and the seek table of the Zstandard seekable format. One record is read by
 its frame alone, and any Zstandard decoder reads the whole bundle.
 
-Bundles are written under temporary names and renamed, so a task that runs again replaces its own bundle.
+Bundles are written under temporary names and renamed. Each attempt of a task names its bundles apart and returns the
+names of all it wrote, and the attempt whose names are kept is whole by itself: bundles of another one are never listed.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm.common import prepare
-from sylva.session import cut, shared_dir
+from sylva.session import cut, fresh_folder, remove
 
 #: A frame closes at so many bytes of records, a bundle at so many bytes of frames.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 1 << 26
@@ -179,7 +180,9 @@ def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTE
     """Write the pages (page_id, url, html, ...) and return the bundles: path, records, frames, bytes.
 
     Null html is an empty payload, a null url leaves out the target; a null page_id is always a response; rows that
-    repeat the smallest page_id of their payload are responses too. An empty table writes nothing.
+    repeat the smallest page_id of their payload are responses too, and others that share an id are records of one
+    identifier, of which a bundle's index gives the first. A payload longer than a frame is a frame of its own. An empty
+    table writes nothing; other columns are not read.
     """
     spark = pages.sparkSession
     prepare(spark)
@@ -187,7 +190,7 @@ def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTE
     files.create_dir(local, recursive=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number, out = TaskContext.get().partitionId(), 0, None
+        part, number, out, attempt = TaskContext.get().partitionId(), 0, None, uuid.uuid4().hex[:12]
         made: list[tuple[str, int, int, int]] = []
 
         def close():
@@ -200,7 +203,7 @@ def write_bundles(pages: DataFrame, folder: str, bundle_bytes: int = BUNDLE_BYTE
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None:
-                    path = f"{folder}/bundle-{part:06d}-{number:04d}.warc.zst"
+                    path = f"{folder}/bundle-{part:06d}-{attempt}-{number:04d}.warc.zst"
                     out = BundleWriter(path, frame_bytes)
                 out.add(record_id(r["page_id"]), encode_record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"]))
                 if out.written >= bundle_bytes:
@@ -256,9 +259,11 @@ def find_record(bundles: DataFrame, page_id: int) -> bytes | None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = fresh_folder(spark, "warc")
     bundles = write_bundles(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = cut(read_bundles(bundles, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, folder)
+    return got
 
 
 SQL = """

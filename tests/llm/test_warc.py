@@ -35,6 +35,25 @@ def test_round_trip(spark, tmp_path):
     assert not list(tmp_path.rglob("*.part"))
 
 
+def test_two_attempts_of_a_task_do_not_mix(spark, tmp_path):
+    _, df = pages(spark)
+    first, second = (warc.write_bundles(df.repartition(3), str(tmp_path / "w"), bundle_bytes=3000, frame_bytes=2000) for _ in range(2))
+    paths = [{r.path for r in b.collect()} for b in (first, second)]
+    assert not paths[0] & paths[1] and len(list((tmp_path / "w").iterdir())) == len(paths[0] | paths[1])
+    assert warc.read_bundles(first).count() == warc.read_bundles(second).count() == df.count()
+
+
+def test_the_query_leaves_no_bundles(spark, tmp_path):
+    from pathlib import Path
+
+    from sylva.session import shared_dir
+
+    rows, df = pages(spark)
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.query(spark, str(tmp_path)).count() == len(rows)
+    assert not list(Path(shared_dir(spark).removeprefix("file:")).glob("warc-*"))
+
+
 def test_any_decoder_reads_a_bundle(tmp_path):
     out = warc.BundleWriter(str(tmp_path / "b"), frame_bytes=50)
     records = {warc.record_id(i): warc.encode_record(i, "u", b"p" * i, hashlib.sha256(b"p" * i).hexdigest(), None) for i in range(9)}
