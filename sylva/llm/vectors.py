@@ -9,6 +9,10 @@ whole key in some pass with probability 1 - MISS, whatever the size of the table
 
 Equal vectors of a label are one class with a count. A pair is reported in the first pass that compares it; each group
 of blocks returns, per vector, a number of links and a link of a spanning forest, never all pairs.
+
+In a pass a vector is sent once with the SPAN blocks around it, and once more if it stands at their end, where the next
+ones begin; a long run is dealt again in parts of RUN vectors, each part to all of the run. Vectors travel as they are
+stored, with a block number and a run for each pass.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ from sylva.session import cut
 
 COSINE = 0.98
 BLOCK = 256
+#: Blocks that meet in one group, and vectors of a long run that meet as many others in one.
+SPAN, RUN = 8, 4096
+#: Rows compared with a whole side at once.
+SLICE = 256
 #: Bits beyond those that make keys as many as blocks.
 SPARE_BITS, LEAST_BITS, MOST_BITS = 6, 8, 30
 MISS = 1e-4
@@ -66,56 +74,79 @@ def _keyed(classes: DataFrame, bits: int, passes: int) -> DataFrame:
 
 
 def _blocks(keyed: DataFrame, bits: int, block: int) -> DataFrame:
-    """rep, at: for each pass, the block of a vector, and the first and last block of its run if that is long (else -1)."""
+    """rep, at: for each pass, the block of a vector, and if its run is long, the run's first block (else -1), the number of its
+    parts and the vector's own part."""
     each = keyed.select("rep", "label", "size", F.posexplode("keys").alias("pass", "key"))
     runs = each.groupBy("pass", "label", "size", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("coarse", F.shiftright("key", bits // 2))
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     coarse = runs.groupBy("pass", "label", "size", "coarse").agg(F.sum("n").alias("n"))
     coarse = coarse.select("pass", "label", "size", "coarse", F.coalesce(F.sum("n").over(upto("pass", "label", "size", "coarse")), F.lit(0)).alias("before"))
     fine = runs.withColumn("within", F.coalesce(F.sum("n").over(upto("pass", "label", "size", "coarse", "key")), F.lit(0)))
-    placed = fine.join(coarse, ["pass", "label", "size", "coarse"]).select("pass", "label", "size", "key", F.expr(f"(before + within) div {block}").alias("first"), F.ceil(F.col("n") / block).alias("blocks"))
+    placed = fine.join(coarse, ["pass", "label", "size", "coarse"]).select("pass", "label", "size", "key", F.expr(f"(before + within) div {block}").alias("first"), F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("n") / RUN).alias("parts"))
     own = each.join(placed, ["pass", "label", "size", "key"])
     at = F.col("first") + F.pmod(F.xxhash64("rep", "pass"), F.col("blocks"))
     long_ = F.col("blocks") > 1
-    spot = F.struct("pass", at.alias("block"), F.when(long_, F.col("first")).otherwise(-1).alias("low"), F.when(long_, F.col("first") + F.col("blocks") - 1).otherwise(-1).alias("high"))
+    part = F.pmod(F.xxhash64("rep", "pass", F.lit(1)), F.col("parts"))
+    spot = F.struct("pass", at.cast("int").alias("block"), F.when(long_, F.col("first")).otherwise(-1).cast("int").alias("run"), F.when(long_, F.col("parts")).otherwise(0).cast("int").alias("parts"), part.cast("int").alias("part"))
     return own.select("rep", spot.alias("spot")).groupBy("rep").agg(F.array_sort(F.collect_list("spot")).alias("at"))
 
 
-def _met(block: np.ndarray, low: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _met(block: np.ndarray, run: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether a pass compares rows i and j."""
-    return (np.abs(block[i] - block[j]) <= 1) | ((low[i] >= 0) & (low[i] == low[j]))
+    return (np.abs(block[i] - block[j]) <= 1) | ((run[i] >= 0) & (run[i] == run[j]))
 
 
 def _links(cosine: float):
     def run(table: pa.Table) -> pa.Table:
-        p, lo, hi = (table.column(c)[0].as_py() for c in ("pass", "lo", "hi"))
-        x, mult, rep = _matrix(table.column("embedding")), np.array(table.column("mult")), np.array(table.column("rep"))
-        block, low = (np.array(table.column(c).to_pylist()) for c in ("block", "low"))
-        left, right = np.flatnonzero(block[:, p] == lo), np.flatnonzero(block[:, p] == hi)
-        found = [np.zeros((0, 2), np.int64)]
-        if len(left) and hi - lo <= 1:
-            i, j = np.nonzero(np.triu(x[left] @ x[left].T >= cosine, 1))
-            found.append(np.stack([left[i], left[j]], 1))
-        if len(left) and len(right):
-            i, j = np.nonzero(x[left] @ x[right].T >= cosine)
-            found.append(np.stack([left[i], right[j]], 1))
-        i, j = np.concatenate(found).T
-        new = np.ones(len(i), bool)
-        for q in range(p):
-            new &= ~_met(block[:, q], low[:, q], i, j)
-        i, j = i[new], j[new]
-        links = np.bincount(i, mult[j], len(rep)) + np.bincount(j, mult[i], len(rep))
-        root = np.arange(len(rep))
-        while len(i):  # smallest reachable row, by rounds
-            least = root.copy()
-            np.minimum.at(least, i, root[j])
-            np.minimum.at(least, j, root[i])
-            least = least[least]
-            if (least == root).all():
-                break
-            root = least
+        p, kind, lo, hi = (table.column(c)[0].as_py() for c in ("pass", "kind", "lo", "hi"))
+        x, mult, rep, part = _matrix(table.column("embedding")), *(np.array(table.column(c)) for c in ("mult", "rep", "part"))
+        block, runs = (np.stack(table.column(c).to_pandas()) for c in ("block", "run"))
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+
+        def compare(left: np.ndarray, right: np.ndarray | None) -> None:
+            """Count the links of some rows with others, or among themselves, and join what they link."""
+            nonlocal root
+            own = left if right is None else right
+            for at in range(0, len(left), SLICE):
+                some = left[at : at + SLICE]
+                near = x[some] @ x[own].T >= cosine
+                if right is None:
+                    near &= np.arange(len(own))[None, :] > np.arange(at, at + len(some))[:, None]
+                i, j = np.nonzero(near)
+                i, j = some[i], own[j]
+                new = np.ones(len(i), bool)
+                if kind == "span":
+                    new &= (runs[i, p] < 0) | (runs[i, p] != runs[j, p])
+                for q in range(p):
+                    new &= ~_met(block[:, q], runs[:, q], i, j)
+                i, j = i[new], j[new]
+                np.add.at(links, i, mult[j])
+                np.add.at(links, j, mult[i])
+                while len(i):  # smallest reachable row, by rounds
+                    least = root.copy()
+                    np.minimum.at(least, root[i], root[j])
+                    np.minimum.at(least, root[j], root[i])
+                    np.minimum.at(least, i, root[j])
+                    np.minimum.at(least, j, root[i])
+                    least = least[least]
+                    if (least == root).all():
+                        break
+                    root = least
+
+        if kind == "span":
+            rows = {b: np.flatnonzero(block[:, p] == b) for b in range(SPAN * lo, SPAN * lo + SPAN + 1)}
+            for b in range(SPAN * lo, SPAN * lo + SPAN):
+                if len(rows[b]):
+                    compare(rows[b], None)
+                    compare(rows[b], rows[b + 1])
+        elif lo == hi:
+            compare(np.arange(len(rep)), None)
+        else:
+            compare(np.flatnonzero(part == lo), np.flatnonzero(part == hi))
+        while (root[root] != root).any():
+            root = root[root]
         own = np.flatnonzero(links)
-        return pa.table({"a": pa.array(rep[own]), "b": pa.array(rep[root[own]]), "links": pa.array(links[own].astype(np.int64))})
+        return pa.table({"a": pa.array(rep[own]), "b": pa.array(rep[root[own]]), "links": pa.array(links[own])})
 
     return run
 
@@ -125,11 +156,14 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
 
     Vectors that are null, zero, or hold null or non-finite components, and those with a null label or id, link with
     nothing: 0 links, themselves as component. Vectors of different lengths do not link. Repeated rows are vectors that
-    link with each other. An empty table gives no rows; other columns are not read.
+    link with each other. A cosine equal to the threshold is a link. An empty table gives no rows; other columns are not
+    read. Cosines are those of the stored components in double precision.
     """
     spark = table.sparkSession
     prepare(spark)
-    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("string"))
+    stored = table.schema["embedding"].dataType.elementType.simpleString()
+    kind = "float" if stored == "float" else "double"
+    rows = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{kind}>"), F.col("label").cast("string"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda v: v != 0))
     marked = valid.withColumn("size", F.size("embedding")).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
@@ -140,14 +174,17 @@ def near_vectors(table: DataFrame, cosine: float = COSINE, block: int = BLOCK) -
     keyed = _keyed(classes.select("rep", "label", "size", "embedding"), bits, passes)
     placed = classes.select("rep", "label", "size", "mult", "embedding").join(_blocks(keyed, bits, block), "rep")
     spot = F.col("spot")
-    far = F.filter(F.sequence(spot["low"], spot["high"]), lambda b: F.abs(b - spot["block"]) > 1)
-    others = F.concat(F.array(spot["block"] - 1, spot["block"] + 1), F.when(spot["low"] >= 0, far).otherwise(F.array().cast("array<long>")))
-    dealt = placed.withColumn("spot", F.explode("at")).withColumn("other", F.explode(others))
+    cell = lambda kind, lo, hi: F.struct(F.lit(kind).alias("kind"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    span = F.floor(spot["block"] / SPAN)
+    edge = F.when((spot["block"] > 0) & (spot["block"] % SPAN == 0), F.array(cell("span", span - 1, span - 1))).otherwise(F.array().cast("array<struct<kind:string,lo:int,hi:int>>"))
+    parts = F.sequence(F.lit(0), spot["parts"] - 1)
+    runs = F.when(spot["parts"] > 0, F.transform(parts, lambda k: cell("run", F.least(k, spot["part"]), F.greatest(k, spot["part"])))).otherwise(F.array().cast("array<struct<kind:string,lo:int,hi:int>>"))
+    dealt = placed.withColumn("spot", F.explode("at")).withColumn("cell", F.explode(F.concat(F.array(cell("span", span, span)), edge, runs)))
     dealt = dealt.select(
-        "label", "size", spot["pass"].alias("pass"), F.least(spot["block"], "other").alias("lo"), F.greatest(spot["block"], "other").alias("hi"),
-        "rep", "mult", "embedding", F.transform("at", lambda s: s["block"]).alias("block"), F.transform("at", lambda s: s["low"]).alias("low"),
+        "label", "size", spot["pass"].alias("pass"), "cell.kind", F.when(F.col("cell.kind") == "run", spot["run"]).otherwise(-1).alias("of"), "cell.lo", "cell.hi", spot["part"].alias("part"),
+        "rep", "mult", "embedding", F.transform("at", lambda s: s["block"]).alias("block"), F.transform("at", lambda s: s["run"]).alias("run"),
     )
-    linked = cut(dealt.groupBy("label", "size", "pass", "lo", "hi").applyInArrow(_links(cosine), "a long, b long, links long"))
+    linked = cut(dealt.groupBy("label", "size", "pass", "kind", "of", "lo", "hi").applyInArrow(_links(cosine), "a long, b long, links long"))
     groups = components(linked.select("a", "b"))
     counted = linked.groupBy("a").agg(F.sum("links").alias("links"))
     known = classes.join(counted, F.col("rep") == F.col("a"), "left").join(groups, F.col("rep") == F.col("node"), "left")

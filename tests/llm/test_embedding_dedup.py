@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from sylva.llm import vectors
 
@@ -22,7 +23,11 @@ def brute(rows):
     return sorted(((r[0], int(link[i].sum()), group[i]) for i, r in enumerate(rows)), key=str)
 
 
-def test_matches_brute_force(spark):
+@pytest.mark.parametrize(("span", "run"), [(4, 4096), (1, 20), (3, 7)])
+def test_matches_brute_force(spark, monkeypatch, span, run):
+    monkeypatch.setattr(vectors, "SPAN", span)
+    monkeypatch.setattr(vectors, "RUN", run)
+    monkeypatch.setattr(vectors, "SLICE", 11)
     rng = np.random.default_rng(1)
     rows, i = [], 0
     for label in (0, 1):
@@ -33,6 +38,9 @@ def test_matches_brute_force(spark):
                 i += 1
     rows += [(i + k, rows[5][1], rows[5][2]) for k in range(150)]
     i += 150
+    centre = rng.normal(size=8)
+    rows += [(i + k, (centre + rng.normal(size=8) * 0.002).tolist(), 1) for k in range(120)]  # a dense run of many parts
+    i += 120
     rows += [(i, None, 0), (i + 1, [0.0] * 8, 0), (i + 2, [float("nan")] + [1.0] * 7, 0), (i + 3, rows[5][1], None), (i + 4, [None] + [1.0] * 7, 1), (i + 5, [float("inf")] * 8, 1), (i + 6, [1e300] * 8, 1), (i + 7, [2e300] * 8, 1)]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame([(*r, 9) for r in rows], "vec_id long, embedding array<double>, label int, component_id int")
