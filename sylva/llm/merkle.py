@@ -12,12 +12,14 @@ equal roots, else the Dice coefficient of the two sets of leaves.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BRANCH, LEAF = 12, 10
-#: Rows of a bucket of neighbouring ids, and the most buckets; a larger table has larger buckets, which spill.
-BUCKET_ROWS, MOST_BUCKETS, STEP = 2048, 4096, 64
+#: Rows of a bucket of neighbouring ids, and the most buckets: with 100 TB of text a bucket of as many has 1.6 GB, and spills.
+BUCKET_ROWS, MOST_BUCKETS = 2048, 65_536
 
 
 def _parts(text: Column, pattern: str) -> Column:
@@ -25,7 +27,7 @@ def _parts(text: Column, pattern: str) -> Column:
 
 
 def _leaves(paragraph: Column) -> Column:
-    return F.flatten(F.transform(_parts(paragraph, r"(?<=[.!?]\s)"), lambda s: _parts(s, r"(?s)(?<=\G.{80})")))
+    return F.flatten(F.transform(_parts(paragraph, r"(?<=[.!?]\s)"), lambda s: F.regexp_extract_all(s, F.lit(r"(?s).{1,80}"), F.lit(0))))
 
 
 def tree(text: Column) -> Column:
@@ -86,13 +88,15 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     if not n:
         return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     buckets = max(1, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
-    found = keyed.agg(F.percentile_approx("_id", [k / buckets for k in range(1, buckets)] or [0.5], 10 * MOST_BUCKETS).alias("p"), F.max("_id").alias("top")).first()
+    listed = lambda values, kind: F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    shares = listed([k / buckets for k in range(1, buckets)] or [0.5], "double")
+    found = keyed.agg(F.percentile_approx("_id", shares, 10 * buckets).alias("p"), F.max("_id").alias("top")).first()
     ends = sorted({*(found.p if buckets > 1 else []), found.top})
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in ends])
-    coarse = F.array(*[F.lit(int(x)).cast("long") for x in ends[STEP - 1 :: STEP]] or [F.lit(None).cast("long")])
+    step = max(1, math.isqrt(len(ends)))
+    bounds, coarse = listed(ends, "long"), listed(ends[step - 1 :: step], "long")
     below = lambda values: F.size(F.filter(values, lambda b: b < F.col("_id")))
     at = keyed.withColumn("_coarse", below(coarse))
-    at = at.withColumn("_bucket", F.col("_coarse") * STEP + below(F.slice(bounds, F.col("_coarse") * STEP + 1, STEP)))
+    at = at.withColumn("_bucket", F.col("_coarse") * step + below(F.slice(bounds, F.col("_coarse") * step + 1, step)))
     own = F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("ghost"))
     ghost = F.struct(F.pmod(F.col("_bucket") + 1, F.lit(len(ends))).cast("int").alias("bucket"), F.lit(1).alias("ghost"))
     placed = at.withColumn("_at", F.explode(F.when(F.element_at(bounds, F.col("_bucket") + 1) == F.col("_id"), F.array(own, ghost)).otherwise(F.array(own))))
@@ -105,7 +109,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text replaces the last floor(n_chars / 2) code points by the first as many (or all) of the next document
     in descending doc_id. Null text counts as empty; of one row alone the next is itself; repeated rows follow one
-    another; an empty table gives no rows; other columns are not read.
+    another; an empty table gives no rows; other columns are not read. Texts of any length are hashed whole, and have as
+    many leaves as they need.
     """
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     near = with_next(with_fingerprint(slim, "text", "fingerprint"), ["text", "fingerprint"])
