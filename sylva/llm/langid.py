@@ -107,12 +107,17 @@ def train(rows: list[tuple[str, str]], epochs: int = 12, rate: float = 0.5, seed
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Train on a sample bounded by per_language documents of each language value."""
+    """Train on a sample bounded by per_language documents of each language value, and over all of them (sampling.py)."""
     return train(training_rows(docs, docs.select("doc_id", "lang"), "lang", per_language, "language")[0])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous for each row; null or letterless text is `und` with score 0."""
+    """doc_id, held_out, lang_pred, score, ambiguous for each row of docs (doc_id, text, ...).
+
+    Null, empty or letterless text is `und` with score 0. Repeated rows have rows of their own with one answer; a null id stays
+    null and is not held out; of codewords that are equally near the first language in order wins, and its score is at most
+    one half. Texts of any length are read whole; an empty table gives no rows; other columns are not read.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -127,7 +132,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def filter_known(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is found and not ambiguous, with all their columns."""
+    """The rows of docs whose language is found and not ambiguous, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go; repeated rows go or stay together; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

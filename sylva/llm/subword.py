@@ -106,7 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; null text counts as empty, other columns are not read."""
+    """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
+
+    Null text counts as empty, which has a score as any text has. Repeated rows have rows of their own with one score; a null
+    id stays null and is not held out; a score equal to the threshold is predicted 1. Texts of any length are read whole;
+    an empty table gives no rows; other columns are not read.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -121,7 +126,11 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def filter_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with all their columns."""
+    """The rows of docs whose score reaches the threshold, with all their columns, whatever their names.
+
+    Null text is scored as empty; repeated rows go or stay together, as do ties at the threshold, which stay; an empty table
+    gives no rows.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -24,6 +24,8 @@ from sylva.llm.sampling import training_rows
 #: Bound of the training sample, in documents of each class.
 PER_CLASS = 4000
 THRESHOLD = 0.3
+#: Log odds from which a unit belongs to the lexicon.
+LEAST_ODDS = 1.5
 PREFIXES = (4, 5, 6)
 NEAR = 6
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine sie ihr ihre usted ustedes ti tus su sus vosotros".split()
@@ -79,11 +81,11 @@ class Lexicon:
         return out
 
 
-def learn_lexicon(texts: list[str], y: np.ndarray, least: float = 1.5, most: int = 5000) -> Lexicon:
+def learn_lexicon(texts: list[str], y: np.ndarray, least: float = LEAST_ODDS) -> Lexicon:
     """Units of toxic texts: smoothed log odds of at least `least`, and more support than chance gives any of so many units.
 
-    Support is the log likelihood ratio of a unit's share of toxic texts against the share among all texts. The `most`
-    strongest units stay.
+    Support is the log likelihood ratio of a unit's share of toxic texts against the share among all texts. How many units
+    there can be follows from the bounded sample.
     """
     found: list[list[np.ndarray]] = [[], []]
     for t, v in zip(texts, y, strict=True):
@@ -99,8 +101,6 @@ def learn_lexicon(texts: list[str], y: np.ndarray, least: float = 1.5, most: int
     share, p = len(found[1]) / (len(found[0]) + len(found[1])), n / (n + other)
     support = n * np.log(p / share) + np.where(other > 0, other * np.log(np.maximum(1 - p, 1e-12) / max(1 - share, 1e-12)), 0)
     keep = np.flatnonzero((odds >= least) & (support >= 1 + np.log(max(1, len(clean) + len(toxic)))))
-    keep = keep[np.argsort(-odds[keep] * np.sqrt(n[keep]), kind="stable")[:most]]
-    keep.sort()
     return Lexicon(toxic[keep], odds[keep])
 
 
@@ -145,10 +145,11 @@ class Model:
         return np.clip(self.calibration(self.trees(np.stack([features(t, self.lexicon) for t in texts]))), 0, 1)
 
 
-def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3) -> Model:
+def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3, least: float = LEAST_ODDS, **settings) -> Model:
     """Fit on (text, 0 or 1); class weights restore the shares among all training rows.
 
-    With fewer than four rows of either class every score is the share of class 1 (0 without rows).
+    With fewer than four rows of either class every score is the share of class 1 (0 without rows). `least` goes to the
+    lexicon and other settings to boost(); their defaults were chosen by choose(), which sees training rows alone.
     """
     texts, y = [t for t, _ in rows], np.array([int(v) for _, v in rows])
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
@@ -163,13 +164,13 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3) ->
         half[own[::2]] = 1
     x = np.zeros((len(y), len(features("", Lexicon(np.zeros(1, np.uint64), np.zeros(1))))))
     for k in (0, 1):
-        lexicon = learn_lexicon([t for t, f in zip(texts, half, strict=True) if f != k], y[half != k])
+        lexicon = learn_lexicon([t for t, f in zip(texts, half, strict=True) if f != k], y[half != k], least)
         for i in np.flatnonzero(half == k):
             x[i] = features(texts[i], lexicon)
     apart = np.zeros(len(y))
     for k in (0, 1):
-        apart[half == k] = boost(x[half != k], y[half != k], weight[half != k])(x[half == k])
-    return Model(learn_lexicon(texts, y), boost(x, y, weight), isotonic(apart, y, weight))
+        apart[half == k] = boost(x[half != k], y[half != k], weight[half != k], **settings)(x[half == k])
+    return Model(learn_lexicon(texts, y, least), boost(x, y, weight, **settings), isotonic(apart, y, weight))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -177,8 +178,31 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return train(*training_rows(docs, labels, "toxic", per_class, "toxicity"))
 
 
+def choose(rows: list[tuple[str, int]], grid: list[dict], folds: int = 3) -> list[tuple[float, dict]]:
+    """The log loss of each setting over folds of training rows, best first: what settings are chosen by.
+
+    Rows are training_rows(), so nothing of the held-out fold is seen; the folds are by the rows' place.
+    """
+    out = []
+    for settings in grid:
+        loss = 0.0
+        for k in range(folds):
+            own, other = rows[k::folds], [r for j in range(folds) if j != k for r in rows[j::folds]]
+            ones = sum(int(v) for _, v in other)
+            p = np.clip(train(other, {1: ones, 0: len(other) - ones}, **settings).score([t for t, _ in own]), 1e-3, 1 - 1e-3)
+            y = np.array([int(v) for _, v in own])
+            loss -= float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        out.append((loss / max(1, len(rows)), settings))
+    return sorted(out, key=lambda x: x[0])
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs; null text counts as empty, other columns are not read."""
+    """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
+
+    Null text counts as empty, which has a score as any text has. Repeated rows have rows of their own with one score; a null
+    id stays null and is not held out; a score equal to the threshold is predicted 1. Texts of any length are read whole;
+    an empty table gives no rows; other columns are not read.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
