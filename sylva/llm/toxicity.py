@@ -24,8 +24,8 @@ from sylva.llm.sampling import training_rows
 #: Bound of the training sample, in documents of each class.
 PER_CLASS = 4000
 THRESHOLD = 0.3
-#: Log odds from which a unit belongs to the lexicon.
-LEAST_ODDS = 1.5
+#: Log odds from which a unit belongs to the lexicon, and how much leaves shrink.
+LEAST_ODDS, RIDGE = 1.5, 2.0
 PREFIXES = (4, 5, 6)
 NEAR = 6
 SECOND_PERSON = "you your yours yourself u ur tu te toi ton ta tes vous votre vos du dich dir dein deine sie ihr ihre usted ustedes ti tus su sus vosotros".split()
@@ -145,7 +145,7 @@ class Model:
         return np.clip(self.calibration(self.trees(np.stack([features(t, self.lexicon) for t in texts]))), 0, 1)
 
 
-def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3, least: float = LEAST_ODDS, **settings) -> Model:
+def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3, least: float = LEAST_ODDS, ridge: float = RIDGE, **settings) -> Model:
     """Fit on (text, 0 or 1); class weights restore the shares among all training rows.
 
     With fewer than four rows of either class every score is the share of class 1 (0 without rows). `least` goes to the
@@ -169,8 +169,8 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3, le
             x[i] = features(texts[i], lexicon)
     apart = np.zeros(len(y))
     for k in (0, 1):
-        apart[half == k] = boost(x[half != k], y[half != k], weight[half != k], **settings)(x[half == k])
-    return Model(learn_lexicon(texts, y, least), boost(x, y, weight, **settings), isotonic(apart, y, weight))
+        apart[half == k] = boost(x[half != k], y[half != k], weight[half != k], ridge=ridge, **settings)(x[half == k])
+    return Model(learn_lexicon(texts, y, least), boost(x, y, weight, ridge=ridge, **settings), isotonic(apart, y, weight))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:

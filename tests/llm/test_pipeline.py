@@ -1,8 +1,10 @@
 import random
 from collections import Counter
+from pathlib import Path
 
 import corpus_pipeline
 from sylva.llm import langid, minhash, mixing, subword
+from sylva.session import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,6 +51,19 @@ def test_stages(spark, tmp_path):
     assert dict(taken) == want
     assert {r.doc_id for r in now.collect()} == set(want)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    left = [p for p in Path(shared_dir(spark).removeprefix("file:")).glob("pipeline-*/*")]
+    assert [p.name for p in left] == ["packing"]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    extra = ["row", "at", "id", "h", "same", "words", "key", "score", "_row", "part", "full"]
+    rows = [(i, "ka lo mi ra tu " * 8 + f"end{i % 4}", "aa", "s", 40, *extra) for i in range(12)] + [(3, "ka lo", "aa", None, 5, *extra), (None, None, None, None, None, *extra)]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in extra))
+    for stage in (lambda d: langid.filter_known(d, langid.train([("ka lo", "aa")])), lambda d: subword.filter_good(d, subword.train([], {}), 0.5), minhash.drop_near_duplicates, mixing.apply_mix):
+        docs = stage(docs)
+        assert [c for c in docs.columns] == [*SCHEMA.replace(" long", "").replace(" string", "").split(", "), *extra]
+        got = docs.collect()
+        assert got and all(tuple(r[5:]) == tuple(extra) for r in got)
 
 
 def test_stages_of_nothing(spark):
