@@ -149,7 +149,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int], seed: int = 3, le
     """Fit on (text, 0 or 1); class weights restore the shares among all training rows.
 
     With fewer than four rows of either class every score is the share of class 1 (0 without rows). `least` goes to the
-    lexicon and other settings to boost(); their defaults were chosen by choose(), which sees training rows alone.
+    lexicon and other settings to boost(); choose() compares them over training rows alone (the README says which were so chosen).
     """
     texts, y = [t for t, _ in rows], np.array([int(v) for _, v in rows])
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
