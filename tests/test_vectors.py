@@ -112,6 +112,32 @@ def test_density_of_any_row_ids(spark):
     assert [r[:3] for r in one] == sorted(want) and one == many
 
 
+def test_density_on_a_grid_matches_a_sequential_scan(spark):
+    rng = random.Random(12)
+    for dims in (1, 2, 3):
+        x = np.array([[rng.randrange(9) + 0.3 * rng.randrange(2) for _ in range(dims)] for _ in range(90)] + [[40.0] * dims] * 30)
+        ids = sorted(rng.sample([*range(-(1 << 63), 1 << 63, 1 << 56)], len(x)))
+        odd = [(1, None), (2, [float("nan")] * dims), (3, [float("inf")] * dims)]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + odd, "row_id long, vector array<double>")
+        eps = [0.5, 1.0, 1.5, 20.0]
+        one, many = (sorted(map(tuple, density.dbscan_on_grid(df, eps, 4, task_pairs=n).collect())) for n in (10**6, 0))
+        want = [(k, ids[i], ids[v]) for k, e in enumerate(eps) for i, v in enumerate(sequential(distances.block("l2", x, x), e, 4)) if v is not None]
+        assert [r[:3] for r in one] == sorted(want) and one == many
+    assert density.dbscan_on_grid(df.limit(0), eps, 4).count() == 0
+
+
+def test_layers_of_rows_with_many_neighbours(spark, monkeypatch):
+    from sylva.plans import registry
+
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(0, 0.004, (6000, 2)), rng.normal(0, 0.004, (6000, 2)) + (0.6, 0), np.zeros((2000, 2))])  # some 100 million pairs
+    df = rows(spark, x).repartition(4).cache()
+    assert density.tiles(df, [0.02, 0.3], 5).count() < 2 * 2 * len(x)
+    monkeypatch.setattr(registry, "plane", lambda *_: df)
+    found = registry.layers(spark, "")
+    assert [s[3] for s in found.stats][-2:] == [2, 1] and found.members.where("layer = %d" % found.stats[-1][0]).count() == len(x)
+
+
 def test_layers_by_joins(spark):
     rng = np.random.default_rng(8)
     x = np.concatenate([rng.normal(c, 0.1, (15, 2)) for c in ((0, 0), (1, 0), (0, 1.3))])
