@@ -219,12 +219,18 @@ def tree_json(roots: list[dict]) -> str:
 
 
 def annotation_chunks(members: DataFrame, most: int = 1500, seed: int = 1) -> DataFrame:
-    """layer, cluster, chunk, row_id: for clusters of more than `most`, ceil(3n / most) random chunks of `most` rows; else one of all."""
-    size = sizes(members)
-    chunks = F.when(F.col("size") > most, F.ceil(3 * F.col("size") / most)).otherwise(1)
-    dealt = members.join(size, ["layer", "cluster"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks.cast("long") - 1)))
-    order = Window.partitionBy("layer", "cluster", "chunk").orderBy(F.xxhash64(F.lit(seed), "chunk", "row_id"), "row_id")
-    return dealt.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("layer", "cluster", "chunk", "row_id")
+    """layer, cluster, chunk, row_id: for clusters of more than `most`, ceil(3n / most) random chunks of `most` rows; else one of all.
+
+    A cluster is shuffled a few times, and each time cut into as many whole chunks as it has; so a chunk is any set of
+    `most` rows alike, and a row is handled at most six times however large its cluster is.
+    """
+    n = F.col("size")
+    chunks = F.when(n > most, F.ceil(3 * n / most)).otherwise(1).cast("long")
+    size = sizes(members).withColumn("chunks", chunks).withColumn("whole", F.greatest(F.floor(n / most), F.lit(1)))
+    dealt = members.join(size, ["layer", "cluster"]).withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("chunks") / F.col("whole")) - 1)))
+    order = Window.partitionBy("layer", "cluster", "pass").orderBy(F.xxhash64(F.lit(seed), "layer", "cluster", "pass", "row_id"), "row_id")
+    placed = dealt.withColumn("place", F.floor((F.row_number().over(order) - 1) / most)).where("place < whole")
+    return placed.withColumn("chunk", F.col("pass") * F.col("whole") + F.col("place")).where("chunk < chunks").select("layer", "cluster", "chunk", "row_id")
 
 
 def chunks_of(n: int, most: int = 1500) -> int:

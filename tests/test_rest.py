@@ -43,6 +43,17 @@ def test_cluster_sets(spark):
     assert {(r.layer, r.cluster): r.n for r in chunks.groupBy("layer", "cluster").agg(F.count(F.lit(1)).alias("n")).collect()}[1, 0] == tree.chunks_of(10, 6) == 5
 
 
+def test_chunks_of_large_clusters(spark):
+    from sylva.operators import tree
+
+    sized = {1: 6, 2: 7, 3: 11, 4: 12, 5: 13, 6: 40_000}
+    m = spark.createDataFrame([(0, c, r) for c, n in sized.items() for r in range(n)], "layer long, cluster long, row_id long")
+    found = tree.annotation_chunks(m, 6)  # a row for each chunk would be 800 million
+    each = found.groupBy("cluster", "chunk").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_id").alias("rows"))
+    got = {r.cluster: tuple(r)[1:] for r in each.groupBy("cluster").agg(F.count(F.lit(1)), F.max("chunk"), F.min("n"), F.max("n"), F.min("rows")).collect()}
+    assert got == {c: (tree.chunks_of(n, 6), tree.chunks_of(n, 6) - 1, 6, 6, 6) for c, n in sized.items()}
+
+
 def test_names(spark):
     df = spark.createDataFrame([("L14C683N7",), ("algae__ ",), ("__",), ("red_algae",)], "name string")
     assert [r[0] for r in df.select(tree.node_label(F.col("name"))).collect()] == [None, "algae", "  ", "red_algae"]
