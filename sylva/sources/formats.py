@@ -390,7 +390,8 @@ def _write_files(rows: DataFrame, by: list[str], order: list[str], name, emit) -
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["path"])
 
     ship(rows.sparkSession)
-    rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, "path string").collect()
+    # a repartition by the columns of a join before it would be dropped, and a large key of that join be split
+    rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInArrow(run, "path string").collect()
 
 
 def write_layers(members: DataFrame, prefix: str) -> None:

@@ -54,6 +54,21 @@ def test_chunks_of_large_clusters(spark):
     assert got == {c: (tree.chunks_of(n, 6), tree.chunks_of(n, 6) - 1, 6, 6, 6) for c, n in sized.items()}
 
 
+def test_files_of_clusters_are_whole_however_the_joins_before_them_run(spark, tmp_path):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k"}
+    held = {k: spark.conf.get(k, None) for k in conf}
+    m = spark.range(0, 3000, 1, 4).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"), (F.col("id") % 2).alias("cluster"), F.col("id").alias("row_id"))
+    rows = spark.range(0, 3000, 1, 4).select(F.col("id").alias("row_id"), F.repeat(F.lit("x"), F.lit(9000)).alias("text"), F.array(F.col("id").cast("double")).alias("vector"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        formats.write_cluster_vectors(m, rows, f"{tmp_path}/")
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {f.name: f.stat().st_size for f in tmp_path.glob("*.vdb")} == {f"L{a:04d}-C-{b:06d}.vdb": 21 + 1500 * (8 + 8 + 9000) for a in (0, 1) for b in (0, 1)}
+
+
 def test_names(spark):
     df = spark.createDataFrame([("L14C683N7",), ("algae__ ",), ("__",), ("red_algae",)], "name string")
     assert [r[0] for r in df.select(tree.node_label(F.col("name"))).collect()] == [None, "algae", "  ", "red_algae"]
