@@ -111,3 +111,10 @@ def test_stats_and_ids(spark):
     assert (row.texts, row.mean_words, row.sd_words) == (2, 3.0, 1.0)
     values = spark.createDataFrame([(0, "x"), (1, "y"), (2, "x"), (3, "a")], "row_id long, label string")
     assert [(r.label, r.id) for r in text.dense_ids(values, "label").orderBy("id").collect()] == [("x", 0), ("y", 1), ("a", 2)]
+
+
+def test_a_search_without_judgements_writes_none(spark):
+    from sylva.plans import registry
+
+    queries, rows, judged, t = registry._beir_tables(spark, "/root/testdata/sf0.001", judgements=False)
+    assert judged.count() == 0 and rows.count() == 200 and queries.count() == 10 and len(t.rules) == registry.MERGES
