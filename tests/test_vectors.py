@@ -126,6 +126,32 @@ def test_density_on_a_grid_matches_a_sequential_scan(spark):
     assert density.dbscan_on_grid(df.limit(0), eps, 4).count() == 0
 
 
+def test_clusters_are_counted_without_their_points(spark):
+    rng = random.Random(17)
+    for dims, minpts in ((1, 2), (2, 3), (2, 5), (3, 4)):
+        x = np.array([[rng.randrange(9) + 0.3 * rng.randrange(2) for _ in range(dims)] for _ in range(90)] + [[40.0] * dims] * 30)
+        df = rows(spark, x[rng.sample(range(len(x)), len(x))])
+        x = np.array([r.vector for r in df.orderBy("row_id").collect()])
+        eps = [0.1, 0.35, 0.5, 1.0, 1.5, 20.0]
+        want = [len({v for v in sequential(distances.block("l2", x, x), e, minpts) if v is not None}) for e in eps]
+        for n in (10**6, 0):
+            got = density.clusters_on_grid(df, eps, minpts, n)
+            assert [got.get(k, 0) for k in range(len(eps))] == want
+        assert density.tiles(df, [20.0], minpts, True).count() < 20 < len(x) <= density.tiles(df, [20.0], minpts).count()
+
+
+def test_points_are_found_for_layers_alone(spark, monkeypatch):
+    from sylva.plans import registry
+
+    line = [0.001 * i for i in range(8)]
+    df = rows(spark, np.array([[a, 0.0] for a in line] + [[0.15 + a, 0.0] for a in line] + [[9.0, 9.0]]))
+    found, plain = [], density.dbscan_on_grid
+    monkeypatch.setattr(registry, "plane", lambda *_: df)
+    monkeypatch.setattr(density, "dbscan_on_grid", lambda rows, radii, *more: found.extend(radii) or plain(rows, radii, *more))
+    assert [tuple(r) for r in registry.layer_stats(spark, "").orderBy("layer").collect()] == [(0, 0, 2), (1, 25, 1)] and not found
+    assert [tuple(r) for r in registry.cluster_counts(spark, "").orderBy("layer").collect()] == [(0, 2), (1, 1)] and found == pytest.approx([0.02, 0.145])
+
+
 def test_layers_of_rows_with_many_neighbours(spark, monkeypatch):
     from sylva.plans import registry
 
