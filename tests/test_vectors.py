@@ -279,3 +279,23 @@ def test_rule_in_one_task_matches_a_sequential_scan():
         i, j = np.nonzero(d <= 1.5)
         got = density._label(minpts)(pa.table({"step": np.zeros(len(i), np.int64), "i": i, "j": j})).to_pylist()
         assert {r["row_id"]: r["label"] for r in got} == {k: v for k, v in enumerate(sequential(d, 1.5, minpts)) if v is not None}
+
+
+#: What queries of layers give for two lines of eight points and one apart.
+LAYER_ROWS = {
+    "cluster_counts": [(0, 2), (1, 1)],
+}
+
+
+@pytest.mark.parametrize("name", LAYER_ROWS)
+def test_layer_queries_list_no_pairs(spark, monkeypatch, name):
+    from sylva.plans import registry
+
+    line = [0.001 * i for i in range(8)]
+    df = rows(spark, np.array([[a, 0.0] for a in line] + [[0.15 + a, 0.0] for a in line] + [[9.0, 9.0]]))
+    monkeypatch.setattr(density, "neighbours_on_grid", None)
+    monkeypatch.setattr(registry, "vectors", lambda *_: df)
+    monkeypatch.setattr(registry, "plane", lambda *_: df)
+    monkeypatch.setattr(registry, "labels", lambda *_: df.selectExpr("row_id", "row_id % 2 as label"))
+    got = [tuple(r) for r in getattr(registry, name)(spark, "").collect()]
+    assert sorted(got, key=str) == sorted(LAYER_ROWS[name], key=str)
