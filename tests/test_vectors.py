@@ -284,6 +284,7 @@ def test_rule_in_one_task_matches_a_sequential_scan():
 #: What queries of layers give for two lines of eight points and one apart.
 LAYER_ROWS = {
     "cluster_counts": [(0, 2), (1, 1)],
+    "cluster_intersections": [(0, 0, 0, 8), (0, 1, 0, 8)],
 }
 
 
