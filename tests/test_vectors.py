@@ -285,6 +285,7 @@ def test_rule_in_one_task_matches_a_sequential_scan():
 LAYER_ROWS = {
     "cluster_counts": [(0, 2), (1, 1)],
     "cluster_intersections": [(0, 0, 0, 8), (0, 1, 0, 8)],
+    "cluster_members": [(0, k // 8, k % 8, k) for k in range(16)] + [(1, 0, k, k) for k in range(16)],
 }
 
 
