@@ -286,6 +286,7 @@ LAYER_ROWS = {
     "cluster_counts": [(0, 2), (1, 1)],
     "cluster_intersections": [(0, 0, 0, 8), (0, 1, 0, 8)],
     "cluster_members": [(0, k // 8, k % 8, k) for k in range(16)] + [(1, 0, k, k) for k in range(16)],
+    "cluster_sub_vdb": [(0, 0, 8, 0.028, 0.0), (0, 1, 8, 1.228, 0.0), (1, 0, 16, 1.256, 0.0)],
 }
 
 
