@@ -288,6 +288,7 @@ LAYER_ROWS = {
     "cluster_members": [(0, k // 8, k % 8, k) for k in range(16)] + [(1, 0, k, k) for k in range(16)],
     "cluster_sub_vdb": [(0, 0, 8, 0.028, 0.0), (0, 1, 8, 1.228, 0.0), (1, 0, 16, 1.256, 0.0)],
     "contingency": [(0, 0, 0, 4), (0, 0, 1, 4), (0, 1, 0, 4), (0, 1, 1, 4), (1, 0, 0, 8), (1, 0, 1, 8)],
+    "every_nth_leaf": [(0,)],
 }
 
 
