@@ -289,6 +289,7 @@ LAYER_ROWS = {
     "cluster_sub_vdb": [(0, 0, 8, 0.028, 0.0), (0, 1, 8, 1.228, 0.0), (1, 0, 16, 1.256, 0.0)],
     "contingency": [(0, 0, 0, 4), (0, 0, 1, 4), (0, 1, 0, 4), (0, 1, 1, 4), (1, 0, 0, 8), (1, 0, 1, 8)],
     "every_nth_leaf": [(0,)],
+    "layer_coverage": [(0, 16, 1, 0.941176), (1, 16, 1, 0.941176)],
 }
 
 
@@ -304,3 +305,13 @@ def test_layer_queries_list_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(registry, "labels", lambda *_: df.selectExpr("row_id", "row_id % 2 as label"))
     got = [tuple(r) for r in getattr(registry, name)(spark, "").collect()]
     assert sorted(got, key=str) == sorted(LAYER_ROWS[name], key=str)
+
+
+def test_coverage_projects_vectors_once(spark, monkeypatch):
+    from sylva.plans import registry
+
+    df = rows(spark, np.array([[0.001 * i, 0.0] for i in range(16)] + [[0.2, 0.0]] * 8))
+    made = []
+    monkeypatch.setattr(registry, "vectors", lambda *_: df)
+    monkeypatch.setattr(registry, "plane", lambda *_: made.append(1) or df)
+    assert {r.covered + r.noise for r in registry.layer_coverage(spark, "").collect()} == {24} and len(made) == 1
