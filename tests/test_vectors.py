@@ -292,6 +292,7 @@ LAYER_ROWS = {
     "layer_coverage": [(0, 16, 1, 0.941176), (1, 16, 1, 0.941176)],
     "mapping_rows": [("L0C0N8", 8, "0,1,2,3,4,5,6,7", None), ("L0C1N8", 8, "8,9,10,11,12,13,14,15", None), ("L1C0N16", 16, ",".join(map(str, range(16))), None)],
     "layer_edges": [(1, 0, 0, 0, 8), (1, 0, 0, 1, 8)],
+    "nmi_score": [(0, 16, 0.0), (1, 16, None)],
 }
 
 
