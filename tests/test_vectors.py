@@ -293,6 +293,7 @@ LAYER_ROWS = {
     "mapping_rows": [("L0C0N8", 8, "0,1,2,3,4,5,6,7", None), ("L0C1N8", 8, "8,9,10,11,12,13,14,15", None), ("L1C0N16", 16, ",".join(map(str, range(16))), None)],
     "layer_edges": [(1, 0, 0, 0, 8), (1, 0, 0, 1, 8)],
     "nmi_score": [(0, 16, 0.0), (1, 16, None)],
+    "node_label_mix": [(0, 0, 0, 4, 1.0), (0, 0, 1, 4, 1.0), (0, 1, 0, 4, 1.0), (0, 1, 1, 4, 1.0), (1, 0, 0, 8, 1.0), (1, 0, 1, 8, 1.0)],
 }
 
 
