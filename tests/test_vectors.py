@@ -296,6 +296,7 @@ LAYER_ROWS = {
     "node_label_mix": [(0, 0, 0, 4, 1.0), (0, 0, 1, 4, 1.0), (0, 1, 0, 4, 1.0), (0, 1, 1, 4, 1.0), (1, 0, 0, 8, 1.0), (1, 0, 1, 8, 1.0)],
     "mapping_with_labels": [("L0C0N8", 8, "0,1,2,3,4,5,6,7", "field 0_"), ("L0C1N8", 8, "8,9,10,11,12,13,14,15", None), ("L1C0N16", 16, ",".join(map(str, range(16))), "field 0_")],
     "newick": [("(L0C0N8,L0C1N8)L1C0N16;",)],
+    "newick_edges": [("L0C0N8", "L1C0N16"), ("L0C1N8", "L1C0N16"), ("L1C0N16", None)],
 }
 
 
