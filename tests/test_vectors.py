@@ -152,6 +152,35 @@ def test_points_are_found_for_layers_alone(spark, monkeypatch):
     assert [tuple(r) for r in registry.cluster_counts(spark, "").orderBy("layer").collect()] == [(0, 2), (1, 1)] and found == pytest.approx([0.02, 0.145])
 
 
+def test_layers_from_rows_that_tell_clusters_apart(spark, monkeypatch):
+    monkeypatch.setattr(density, "THIN_FROM", 0, raising=False)
+    rng, dealt, said, tiles, counts = random.Random(23), [], [], density.tiles, density._counts
+    monkeypatch.setattr(density, "tiles", lambda rows, radii, *more: dealt.append((rows.count(), radii)) or tiles(rows, radii, *more))
+    monkeypatch.setattr(density, "_counts", lambda found: said.append(counts(found)) or said[-1])
+    for dims, minpts, start, step, ways in ((1, 2, 0.02, 0.03, (10**6,)), (2, 3, 0.12, 0.06, (10**6, 0)), (2, 5, 0.2, 0.05, (10**6,)), (3, 2, 0.25, 0.06, (10**6,))):
+        blob = lambda n, at, wide: [[at + rng.uniform(0, wide)] + [rng.uniform(0, wide) for _ in range(dims - 1)] for _ in range(n)]
+        x = np.array(blob(50, 0, 1) + blob(30, 1.9, 0.7) + blob(25, 4.5, 0.6) + blob(12, 0, 6) + [[2.75] + [0.3] * (dims - 1)] * minpts)
+        ids = sorted(rng.sample([*range(-(1 << 63), 1 << 63, 1 << 56)], len(x)))
+        x = x[rng.sample(range(len(x)), len(x))]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)] + [(1, None), (2, [float("inf")] * dims)], "row_id long, vector array<double>")
+        d = distances.block("l2", x, x)
+        for n in ways:
+            dealt.clear(), said.clear()
+            found = density.adaptive_on_grid(df.coalesce(1), start, step, minpts, task_pairs=n)
+            want = [[len({v for v in sequential(d, e, minpts) if v is not None}) for e in radii] for _, radii in dealt]
+            assert [[g.get(k, 0) for k in range(len(radii))] for g, (_, radii) in zip(said, dealt, strict=True)] == want
+            assert found.stats[0][3] > found.stats[-1][3] == 1 and min(kept for kept, _ in dealt) < len(x)
+
+
+def test_rows_amid_their_cluster_are_looked_at_once(spark, monkeypatch):
+    monkeypatch.setattr(density, "THIN_FROM", 0, raising=False)
+    rng, dealt, plain = np.random.default_rng(3), [], density.tiles
+    x = np.concatenate([rng.uniform(0, 0.3, (3000, 2)), rng.uniform(0, 0.3, (3000, 2)) + (0.6, 0), [[0.1, 0.6]]])
+    monkeypatch.setattr(density, "tiles", lambda rows, *more: dealt.append(rows.count()) or plain(rows, *more))
+    found = density.adaptive_on_grid(rows(spark, x).cache(), 0.02, 0.005, 5)
+    assert [s[3] for s in found.stats] == [2, 1] and dealt[0] == len(x) and max(dealt[1:3]) < 100
+
+
 def test_layers_of_rows_with_many_neighbours(spark, monkeypatch):
     from sylva.plans import registry
 
