@@ -351,3 +351,14 @@ def test_coverage_projects_vectors_once(spark, monkeypatch):
     monkeypatch.setattr(registry, "vectors", lambda *_: df)
     monkeypatch.setattr(registry, "plane", lambda *_: made.append(1) or df)
     assert {r.covered + r.noise for r in registry.layer_coverage(spark, "").collect()} == {24} and len(made) == 1
+
+
+@pytest.mark.parametrize("name", ["cluster_members"])
+def test_rows_of_clusters_are_projected_once(spark, monkeypatch, name):
+    from sylva.plans import registry
+
+    df = rows(spark, np.array([[0.001 * i, 0.0] for i in range(8)] + [[0.15 + 0.001 * i, 0.0] for i in range(8)]))
+    made = []
+    monkeypatch.setattr(registry, "plane", lambda *_: made.append(1) or df)
+    got = [tuple(r) for r in getattr(registry, name)(spark, "").collect()]
+    assert sorted(got) == sorted(LAYER_ROWS[name]) and len(made) == 1
