@@ -353,7 +353,7 @@ def test_coverage_projects_vectors_once(spark, monkeypatch):
     assert {r.covered + r.noise for r in registry.layer_coverage(spark, "").collect()} == {24} and len(made) == 1
 
 
-@pytest.mark.parametrize("name", ["cluster_members"])
+@pytest.mark.parametrize("name", ["cluster_members", "cluster_sub_vdb"])
 def test_rows_of_clusters_are_projected_once(spark, monkeypatch, name):
     from sylva.plans import registry
 
