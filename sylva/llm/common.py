@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sylva.session import ship
+from sylva.session import give_back, ship
 
 #: Rows and bytes of an Arrow batch: some texts are very long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 256, 32 << 20
@@ -37,8 +37,9 @@ class Memo(dict):
 
 
 def prepare(spark: SparkSession) -> None:
-    """Ship the package to the workers and bound Arrow batches for long texts."""
+    """Ship the package to the workers, bound Arrow batches for long texts, and give back what steps before have freed."""
     ship(spark)
+    give_back(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sylva.llm import ngrams as ng
 from sylva.llm.common import map_batches, prepare, texts_of
 from sylva.operators.graph import components
-from sylva.session import cut
+from sylva.session import cut, give_back
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -348,6 +348,7 @@ def _groups(docs: DataFrame) -> DataFrame:
     named = star.join(facts.alias("x"), F.col("a") == F.col("x.node")).join(facts.alias("y"), F.col("b") == F.col("y.node"))
     first = cut(_verified(cut(named.where(_likely("x", "y")).select("a", "b")), classes, docs, idf))
     near = cut(components(first))
+    give_back(spark)
     second = cut(_stragglers(banded, near, classes, docs, idf))
 
     joined = components(first.union(second)).join(classes.select("node", "rep", "h"), "node")

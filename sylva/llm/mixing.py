@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.common import partitions_for
-from sylva.session import cut
+from sylva.session import cut, give_back
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
@@ -103,6 +103,7 @@ def apply_mix(docs: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     part of the mix; columns of any name come through.
     """
     spark, names = docs.sparkSession, docs.columns
+    give_back(spark)
     held = cut(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*names).alias("row")))
     bytes_ = held.agg(F.coalesce(F.sum(F.octet_length("row.text").cast("long")), F.lit(0))).first()[0]
     taken = mix(held.select("row.doc_id", "row.text", "row.source", "at"), shard_rows, ("at",)).where("taken > 0")

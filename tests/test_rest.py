@@ -1,6 +1,9 @@
+import ctypes
 import json
 import math
+import re
 import struct
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
@@ -248,3 +251,22 @@ def test_windowed_counts(spark, tmp_path):
     counted = ingest.windowed_counts(stream, "ts", "kind").writeStream.format("memory").queryName("counted").outputMode("complete").trigger(availableNow=True).start()
     counted.awaitTermination()
     assert sorted((r.start.minute, r.kind, r.n) for r in spark.table("counted").collect()) == [(0, "click", 3), (0, "view", 2), (5, "click", 1), (5, "view", 2)]
+
+
+def test_what_a_step_frees_goes_back_to_the_machine(spark):
+    from sylva.llm.common import prepare
+    from sylva.session import give_back
+
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    libc = ctypes.CDLL(None)
+    libc.malloc.restype, libc.malloc.argtypes, libc.free.argtypes = ctypes.c_void_p, [ctypes.c_size_t], [ctypes.c_void_p]
+    blocks = [libc.malloc(50_000) for _ in range(4_000)]  # small enough to come from the heap, which only shrinks at its end
+    for b in blocks:
+        ctypes.memset(b, 1, 50_000)
+    full = held()
+    for b in blocks[:-1]:
+        libc.free(b)
+    prepare(spark)
+    assert held() < full - 150_000
+    libc.free(blocks[-1])
+    assert give_back(spark).startswith("Trim native heap")
