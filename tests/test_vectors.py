@@ -181,6 +181,20 @@ def test_rows_amid_their_cluster_are_looked_at_once(spark, monkeypatch):
     assert [s[3] for s in found.stats] == [2, 1] and dealt[0] == len(x) and max(dealt[1:3]) < 100
 
 
+def test_members_from_rows_that_tell_clusters_apart(spark, monkeypatch):
+    monkeypatch.setattr(density, "THIN_FROM", 0, raising=False)
+    rng, dealt, plain = np.random.default_rng(29), [], density.tiles
+    x = np.concatenate([rng.uniform(0, 0.3, (900, 2)), rng.uniform(0, 0.3, (900, 2)) + (0.6, 0), rng.uniform(0, 1, (60, 2)), rng.uniform(0, 0.1, (200, 2)) + (0, 0.6)])
+    df = rows(spark, x[rng.permutation(len(x))]).cache()
+    monkeypatch.setattr(density, "tiles", lambda rows, *more, **named: dealt.append(rows.count()) or plain(rows, *more, **named))
+    found = density.adaptive_on_grid(df, 0.02, 0.01, 5)
+    dealt.clear()
+    got = sorted(tuple(r) for r in found.members.collect())
+    assert len(found.stats) > 2 and dealt and max(dealt) < len(x)
+    want = density.dbscan_on_grid(df, [radius for _, _, radius, _ in found.stats], 5)
+    assert got == sorted(tuple(r) for r in want.collect())
+
+
 def test_layers_of_rows_with_many_neighbours(spark, monkeypatch):
     from sylva.plans import registry
 
